@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .fingerprints import op1_fingerprints
+from .token_files import op2_token_files
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_token_files": op2_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {}
