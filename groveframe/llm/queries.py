@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .fingerprints import op1_fingerprints
+from .languages import op10_languages
 from .token_files import op2_token_files
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_token_files": op2_token_files,
+    "op10_languages": op10_languages,
 }
 
 ORACLE_SQL: dict[str, str] = {}
