@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .fingerprints import op1_fingerprints
 from .languages import op10_languages
+from .quality import op4_quality
 from .token_files import op2_token_files
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_token_files": op2_token_files,
+    "op4_quality": op4_quality,
     "op10_languages": op10_languages,
 }
 
