@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op6_decontamination
 from .fingerprints import op1_fingerprints
 from .languages import op10_languages
 from .quality import op4_quality
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_token_files": op2_token_files,
     "op4_quality": op4_quality,
+    "op6_decontamination": op6_decontamination,
     "op10_languages": op10_languages,
 }
 
