@@ -5,15 +5,21 @@ from __future__ import annotations
 from .decontaminate import op6_decontamination
 from .fingerprints import op1_fingerprints
 from .languages import op10_languages
+from .mixing import op5_mixing
 from .quality import op4_quality
 from .token_files import op2_token_files
+from .warc import OP8_SQL, op8_warc
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_token_files": op2_token_files,
     "op4_quality": op4_quality,
+    "op5_mixing": op5_mixing,
     "op6_decontamination": op6_decontamination,
+    "op8_warc": op8_warc,
     "op10_languages": op10_languages,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_warc": OP8_SQL,
+}
