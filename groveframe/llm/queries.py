@@ -7,6 +7,7 @@ from .fingerprints import op1_fingerprints
 from .languages import op10_languages
 from .mixing import op5_mixing
 from .quality import op4_quality
+from .shingle_join import op7_shingle_join
 from .token_files import op2_token_files
 from .warc import OP8_SQL, op8_warc
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_mixing": op5_mixing,
     "op6_decontamination": op6_decontamination,
+    "op7_shingle_join": op7_shingle_join,
     "op8_warc": op8_warc,
     "op10_languages": op10_languages,
 }
