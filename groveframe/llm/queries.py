@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op6_decontamination
 from .fingerprints import op1_fingerprints
+from .language_model import op9_language_model
 from .languages import op10_languages
 from .mixing import op5_mixing
 from .quality import op4_quality
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_shingle_join": op7_shingle_join,
     "op8_warc": op8_warc,
+    "op9_language_model": op9_language_model,
     "op10_languages": op10_languages,
 }
 
