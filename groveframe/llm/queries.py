@@ -7,6 +7,7 @@ from .fingerprints import op1_fingerprints
 from .language_model import op9_language_model
 from .languages import op10_languages
 from .mixing import op5_mixing
+from .passages import op3_passages
 from .quality import op4_quality
 from .shingle_join import op7_shingle_join
 from .token_files import op2_token_files
@@ -15,6 +16,7 @@ from .warc import OP8_SQL, op8_warc
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_token_files": op2_token_files,
+    "op3_passages": op3_passages,
     "op4_quality": op4_quality,
     "op5_mixing": op5_mixing,
     "op6_decontamination": op6_decontamination,
