@@ -114,7 +114,8 @@ class CrossParser:
         """Phrases of each lane for each language; ``lanes`` is (steps, lanes) of symbols, padded at the end."""
         out = np.empty((len(self.tables), lanes.shape[1]), np.int64)
         for k, steps in enumerate(self.tables):
-            at, count = np.zeros(lanes.shape[1], steps.dtype), np.ones(lanes.shape[1], steps.dtype)
+            at = np.full(lanes.shape[1], len(steps) - self.alphabet.size - 1, steps.dtype)  # the extra state: a phrase starts
+            count = np.zeros(lanes.shape[1], steps.dtype)
             for row in lanes:
                 got = steps.take(at + row)
                 count += got & 1
