@@ -142,14 +142,13 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int, id
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        from .subwords import ByteLevelEncoder
+        from .subwords import encoder_of
 
         part, writer, encoder, uri = TaskContext.get().partitionId(), None, None, ""
         for batch in batches:
             if encoder is None:
-                encoder = ByteLevelEncoder(tokenizer)
-                width = 2 if max(encoder.tokenizer.get_vocab_size(True), end_id + 1) <= 1 << 16 else 4
-                encoder.dtype = np.dtype(f"<u{width}")
+                encoder = encoder_of(tokenizer, end_id)
+                width = encoder.dtype.itemsize
                 end = np.array([end_id], encoder.dtype).tobytes()
                 uri = f"{out}/part-{part:06d}-{uuid.uuid4().hex}.ztok"
                 writer = TokenFileWriter(uri, width)
