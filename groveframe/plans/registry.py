@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .queries import ORACLE_SQL, QUERIES
+
 FLAGSHIP = "AG16"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
