@@ -652,3 +652,51 @@ def st3(p):
 def pj13(p):
     width = p.groupBy("plot").agg((F.max("x") - F.min("x")).alias("dx"))
     return rounded(width.select("plot", c.ratio(F.col("dx"), F.floor(F.col("dx") / 3.0)).alias("res")), "res")
+
+
+# --- set operations, masks, windows that other operators build on -------------------------------------------------------------
+
+
+@query("FP6", "SELECT gt <> -1 AS mask_sem, gt > 0 AS mask_off, count(*) AS n FROM points GROUP BY ALL")
+def fp6(p):
+    rows = loss_rows(p)
+    return rows.groupBy("mask_sem", "mask_off").agg(F.count("*").alias("n"))
+
+
+@query("FP7", "SELECT crop, count(*) AS n FROM points JOIN crops ON x > cx - 7e0 AND x < cx + 7e0 AND y > cy - 7e0 AND y < cy + 7e0 GROUP BY crop", crops=CROPS)
+def fp7(p):
+    """The strict box of a crop, 3 m wider than its half edge."""
+    box = lattice(p, 8.0).withColumn("reach", F.lit(7.0)).withColumn("angle", F.lit(0))
+    return tiles.crop_points(p.select("point_id", "x", "y"), box, 14.0).where((F.abs("u") < 7.0) & (F.abs("v") < 7.0)).groupBy("crop").agg(F.count("*").alias("n"))
+
+
+@query("FP8", "SELECT DISTINCT crop, tree_key FROM u WHERE greatest(abs(u), abs(v)) <= 4e0", crops=CROPS, u=TURNED)
+def fp8(p):
+    return tiles.crop_points(p.select("point_id", "tree_key", "x", "y"), lattice(p, 8.0), 8.0).select("crop", "tree_key").distinct()
+
+
+@query("ST1", "SELECT source, count(*) AS n FROM (SELECT 'plot0' AS source FROM points WHERE plot = 0 UNION ALL SELECT 'rest' FROM points WHERE plot <> 0) GROUP BY source")
+def st1(p):
+    one, two = p.where("plot = 0").withColumn("source", F.lit("plot0")), p.where("plot != 0").withColumn("source", F.lit("rest"))
+    return one.unionByName(two).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("ST4", "SELECT DISTINCT pred FROM points WHERE pred <> 0")
+def st4(p):
+    return p.select("pred").distinct().where("pred != 0")
+
+
+@query("WN2", "SELECT gt, max(CASE WHEN k = 4 THEN z END) AS low4 FROM (SELECT gt, z, row_number() OVER (PARTITION BY gt ORDER BY z) AS k FROM points WHERE gt > 0) GROUP BY gt")
+def wn2(p):
+    return voxels.kth_height(p.where("gt > 0"), 4).select("gt", F.col("kth").alias("low4"))
+
+
+@query("WN3", "SELECT pred, gt FROM (SELECT pred, gt, row_number() OVER (PARTITION BY pred ORDER BY prec DESC, gt) AS k FROM pairs) WHERE k = 1", pairs=PAIRS)
+def wn3(p):
+    pairs = evaluation.contingency(p)
+    return pairs.groupBy("pred").agg(F.max_by("gt", F.struct("prec", -F.col("gt"))).alias("gt"))
+
+
+@query("WN6", "SELECT id, rank, round_even((d2 + 3.1e-9) * 1e6, 0) / 1e6 AS d2 FROM knn", knn=KNN.replace(" WHERE q.tree_key BETWEEN s.tree_key - 33 AND s.tree_key + 33", ""))
+def wn6(p):
+    return rounded(neighbours.knn(p.where("point_id % 100 = 7"), p.where("gt != -1"), 5, 0.6).select("id", F.col("rank").cast("bigint").alias("rank"), "d2"), "d2", digits=6)
