@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import math
 import tempfile
@@ -30,9 +31,19 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/groveframe/{label}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps that are done: it does so once the driver has collected their objects."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back: later work survives lost executors and starts from files."""
+    """Writes ``df`` as Parquet to the shared folder and reads it back: later work survives lost executors and starts from files.
+
+    Shuffle files of earlier steps go first, so a chain of steps needs the disk of its largest one, not of their sum.
+    """
     spark, path = df.sparkSession, scratch(df.sparkSession, label)
+    release(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -44,6 +44,7 @@ SKETCH_WORDS = 8
 #: A join key with more classes counts as common in the last round.
 COMMON = 24
 CACHED_WORDS = 500_000
+VERIFY_BLOCKS = 4
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -100,18 +101,29 @@ class _Words(dict):
 _WORDS = _Words()
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
-    n = min(SHINGLE, len(words))
-    out = np.full(len(words) - n + 1, n, np.uint64)
+#: Odd factors of the words of a shingle, by place.
+FACTORS = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
+
+
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; the words of all texts are hashed and combined in one go."""
+    words = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
+    sizes = [len(w) for w in words]
+    hashes = np.fromiter((h for w in words for h in map(_WORDS.__getitem__, w)), np.uint64, sum(sizes))
+    out, at = [], 0
     with np.errstate(over="ignore"):
-        for i in range(n):
-            out = mix(out + hashes[i : i + len(out)] + np.uint64(0x9E3779B97F4A7C15))
-    return np.unique(out)
+        runs = hashes * np.uint64(FACTORS[0])
+        for i in range(1, SHINGLE):
+            runs[: len(hashes) - i] += hashes[i:] * np.uint64(FACTORS[i])
+        runs = mix(runs)
+        for n in sizes:
+            if n >= SHINGLE:
+                out.append(np.unique(runs[at : at + n - SHINGLE + 1]))
+            else:
+                short = sum(int(h) * f for h, f in zip(hashes[at : at + n], FACTORS, strict=False)) + n
+                out.append(mix(np.array([short & (2**64 - 1)], np.uint64)) if n else np.zeros(0, np.uint64))
+            at += n
+    return out
 
 
 def class_key(found: np.ndarray) -> tuple[int, int]:
@@ -122,11 +134,11 @@ def class_key(found: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def band_words(found: np.ndarray, band: int) -> tuple[np.ndarray, int]:
-    """Join keys of a set in a band (their last six bits hold the band), and how many of its words may be left out."""
+def band_words(found: np.ndarray, band: int) -> np.ndarray:
+    """Join keys of a set in a band; their last six bits hold the band."""
     d, blocks = BLOCKS[band]
     if d == 0:  # only equal sets link
-        return np.zeros(0, np.int64), 0
+        return np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
         block = ((found >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
         starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
@@ -134,9 +146,18 @@ def band_words(found: np.ndarray, band: int) -> tuple[np.ndarray, int]:
         empty = blocks - len(at)
         if empty >= blocks - d:
             gone = np.setdiff1d(np.arange(blocks, dtype=np.uint64), at)
-            word, at, empty = np.concatenate([word, np.zeros(len(gone), np.uint64)]), np.concatenate([at, gone]), 0
+            word, at = np.concatenate([word, np.zeros(len(gone), np.uint64)]), np.concatenate([at, gone])
         key = mix(word ^ mix(at * np.uint64(BANDS) + np.uint64(band) + np.uint64(1)))
-    return ((key & ~np.uint64(63)) | np.uint64(band)).view(np.int64), blocks - d - 1 - empty
+    return ((key & ~np.uint64(63)) | np.uint64(band)).view(np.int64)
+
+
+def spare_words(found: np.ndarray, band: int) -> int:
+    """How many more words of a set in a band may be left out."""
+    d, blocks = BLOCKS[band]
+    block = ((found >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
+    used = 1 + int(np.count_nonzero(block[1:] != block[:-1]))
+    empty = blocks - used
+    return blocks - d - 1 - (empty if empty < blocks - d else 0) if d else 0
 
 
 def parity_bits(found: np.ndarray) -> np.ndarray:
@@ -158,9 +179,9 @@ def summaries(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                sets = [shingles(t) for t in part.column(1).to_pylist()]
+                sets = shingle_sets(part.column(1).to_pylist())
                 keys = [class_key(s) if len(s) else (None, None) for s in sets]
-                slack = [np.array([b * 65536 + max(0, band_words(s, b)[1]) for b in bands_of(len(s))] if len(s) else [], np.int64) for s in sets]
+                slack = [np.array([b * 65536 + max(0, spare_words(s, b)) for b in bands_of(len(s))] if len(s) else [], np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), lists([parity_bits(s) for s in sets], pa.int64()), lists(slack, pa.int64())],
                     ["doc_id", "n_shingles", "c", "c2", "sketch", "slack"],
@@ -177,11 +198,10 @@ def key_rows(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 owners, keys = [], []
-                for text in batch.column(1).slice(at, 512).to_pylist():
-                    found = shingles(text)
+                for found in shingle_sets(batch.column(1).slice(at, 512).to_pylist()):
                     if len(found) and (c := class_key(found)[0]) not in done:
                         done.add(c)
-                        own = np.concatenate([band_words(found, b)[0] for b in bands_of(len(found))])
+                        own = np.concatenate([band_words(found, b) for b in bands_of(len(found))])
                         owners.append(np.full(len(own), c, np.int64))
                         keys.append(own)
                 if keys:
@@ -197,7 +217,7 @@ def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                found = [(c, shingles(t)) for c, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+                found = list(zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist()), strict=True))
                 found = [(c, s) for c, s in found if len(s) and class_key(s)[0] == c]  # other rows may share the doc_id
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), lists([s.view(np.int64) for _, s in found], pa.int64())], ["c", "s"])
 
@@ -205,8 +225,37 @@ def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "c long, s array<long>")
 
 
+def plausible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the bounds on sizes and sketches do not rule out."""
+    one, two = (facts.select(F.col("c").alias(k), F.col("n").alias("n" + k), F.col("sketch").alias("s" + k)) for k in ("a", "b"))
+    return pairs.join(one, "a").join(two, "b").where(within_bounds("na", "nb", "sa", "sb")).select(*pairs.columns)
+
+
+def within_bounds(n1: str, n2: str, sketch1: str, sketch2: str):
+    differ = F.aggregate(F.zip_with(sketch1, sketch2, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return (5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2)) & (9 * differ <= F.col(n1) + F.col(n2))
+
+
+def sets_of(rows: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The sets of all classes in the pairs (a, b), written once."""
+    members = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    wanted = materialize(members.join(classes.select("c", "doc_id"), "c"), "shingle-members")
+    return materialize(class_sets(rows, wanted), "shingle-sets")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity."""
+    """The pairs (a, b) whose sets reach the similarity, in VERIFY_BLOCKS shares of the pairs one after another.
+
+    A pair carries a whole set through a shuffle, so the shares divide the disk this takes at any one time.
+    """
+    share, out = F.pmod(F.xxhash64("b", "a"), F.lit(VERIFY_BLOCKS)), None
+    for k in range(VERIFY_BLOCKS):
+        part = materialize(similar(pairs.where(share == k), sets), "shingle-verified")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     one = sets.select(F.col("c").alias("a"), F.col("s").alias("sa"))
     two = sets.select(F.col("c").alias("b"), F.col("s").alias("sb"))
     both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("common"))
@@ -227,24 +276,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = key_rows(rows).withColumn("first", F.first("c").over(order)).withColumn("before", F.lag("c").over(order)).where("c != before")
     stars = materialize(stars.select("key", "c", "first", "before"), "shingle-stars")
 
-    members = stars.select("c").unionByName(stars.select(F.col("first").alias("c"))).distinct()
-    wanted = materialize(members.join(classes.select("c", "doc_id"), "c"), "shingle-members")
-    sets = materialize(class_sets(rows, wanted), "shingle-sets")
+    facts = materialize(known.where("n_shingles > 0").groupBy("c").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "shingle-facts")
+    partners = stars.select("c", F.explode(F.array_distinct(F.array("first", "before"))).alias("a")).groupBy("a", "c").agg(F.count("*").alias("shared"))
+    partners = materialize(plausible(partners.select("a", F.col("c").alias("b"), "shared"), facts), "shingle-partners")
+
+    sets = sets_of(rows, partners, classes)
 
     # first the most promising partner of each class
-    partners = stars.select("c", F.explode(F.array_distinct(F.array("first", "before"))).alias("a"))
-    counted = partners.groupBy("a", "c").agg(F.count("*").alias("shared"))
-    best = counted.groupBy("c").agg(F.max_by("a", F.struct("shared", -F.col("a").cast("decimal(20,0)"))).alias("a")).select("a", F.col("c").alias("b"))
-    links = materialize(verified(best, sets), "shingle-links")
+    best = partners.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a").cast("decimal(20,0)"))).alias("a")).select("a", "b")
+    links = materialize(verified(materialize(best, "shingle-best"), sets), "shingle-links")
 
     # then first and previous partners that are not yet connected
     found = components(links)
-    open_pairs = with_roots(partners.select("a", F.col("c").alias("b")).distinct(), found).where("ra != rb")
-    links = materialize(links.unionByName(verified(open_pairs, sets)).distinct(), "shingle-links")
+    open_pairs = with_roots(partners.select("a", "b"), found).where("ra != rb")
+    links = materialize(links.unionByName(verified(materialize(open_pairs, "shingle-open"), sets)).distinct(), "shingle-links")
 
     # last, all pairs of a key that are still in different components
     found = components(links)
-    links = materialize(links.unionByName(verified(remaining_pairs(stars, known, found), sets)).distinct(), "shingle-links")
+    left = materialize(remaining_pairs(stars, known, facts, found), "shingle-remaining")
+    links = materialize(links.unionByName(verified(left, sets_of(rows, left, classes))).distinct(), "shingle-links")
 
     roots = components(links)
     named = roots.join(classes.select(F.col("c").alias("node"), "doc_id"), "node")
@@ -262,7 +312,7 @@ def with_roots(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.join(one, "a", "left").join(two, "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
 
 
-def remaining_pairs(stars: DataFrame, known: DataFrame, found: DataFrame) -> DataFrame:
+def remaining_pairs(stars: DataFrame, known: DataFrame, facts: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs of classes that share a join key, lie in different components, and pass the bounds on sizes and sketches."""
     rows = stars.select("key", "c").unionByName(stars.select("key", F.col("first").alias("c"))).distinct()
     rooted = rows.join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
@@ -274,12 +324,10 @@ def remaining_pairs(stars: DataFrame, known: DataFrame, found: DataFrame) -> Dat
     free = held.join(spare, ["c", "band"]).where("n_common <= spare").select("c", "band")
     live = rooted.join(state.where("open"), "key").withColumn("band", F.col("key").bitwiseAND(F.lit(63)))
     kept = live.where(F.col("size") <= COMMON).select("key", "c", "root").unionByName(live.where(F.col("size") > COMMON).join(free, ["c", "band"], "left_anti").select("key", "c", "root"))
-    facts = known.where("n_shingles > 0").groupBy("c").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     full = kept.join(facts, "c")
     one, two = (full.select("key", *(F.col(x).alias(x + k) for x in ("c", "root", "n", "sketch"))) for k in ("1", "2"))
-    differ = F.aggregate(F.zip_with("sketch1", "sketch2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    close = (F.col("c1") < F.col("c2")) & (F.col("root1") != F.col("root2")) & (5 * F.least("n1", "n2") >= 4 * F.greatest("n1", "n2"))
-    return one.join(two, "key").where(close & (9 * differ <= F.col("n1") + F.col("n2"))).select(F.col("c1").alias("a"), F.col("c2").alias("b")).distinct()
+    close = (F.col("c1") < F.col("c2")) & (F.col("root1") != F.col("root2")) & within_bounds("n1", "n2", "sketch1", "sketch2")
+    return one.join(two, "key").where(close).select(F.col("c1").alias("a"), F.col("c2").alias("b")).distinct()
 
 
 def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
