@@ -6,8 +6,9 @@ A document is the set of its five-word shingles (64-bit hashes). Two documents l
 Sketches. For a band of set sizes the hash range is cut into blocks; XOR-hashing the shingles of a block gives a word of the
 sketch. A differing shingle changes one word, so the number of differing words (the Hamming distance over words) is at most the
 size of the symmetric difference. With D the largest difference that a linked pair of the band can have and B > D words, linked
-pairs agree in at least B - D words: a join on (band, block, word) finds them all. A second sketch of 512 single bits per
-document bounds the difference likewise and rules out pairs before their sets are fetched.
+pairs agree in at least B - D words: a join on (band, block, word) finds them all. A second sketch of single bits, at least 512
+and at least one for each shingle, bounds the difference likewise and rules out pairs before their sets are fetched. Its length
+is a power of two; XOR of its halves is the sketch of half the length, so sketches of neighbouring sizes can be compared.
 
 Words of empty blocks say nothing and would join everything. B leaves room beyond D + 1: as long as a document has fewer empty
 words than B - D, one of its matches is not empty, and its empty words are left out; otherwise they are kept. Words shared by
@@ -44,7 +45,7 @@ SKETCH_WORDS = 8
 #: A join key with more classes counts as common in the last round.
 COMMON = 24
 CACHED_WORDS = 500_000
-VERIFY_BLOCKS = 4
+VERIFY_BLOCKS = 2
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -161,19 +162,25 @@ def spare_words(found: np.ndarray, band: int) -> int:
 
 
 def parity_bits(found: np.ndarray) -> np.ndarray:
-    """512 bits, each the parity of the number of shingles that hash to it."""
-    bit = (mix(found) >> np.uint64(20)) % np.uint64(64 * SKETCH_WORDS)
-    odd = (np.bincount(bit.astype(np.int64), minlength=64 * SKETCH_WORDS) & 1).astype(np.uint8)
+    """At least 512 bits and at least one for each shingle, each the parity of the number of shingles that hash to it."""
+    bits = max(64 * SKETCH_WORDS, 1 << max(0, len(found) - 1).bit_length())
+    bit = (mix(found) >> np.uint64(20)) & np.uint64(bits - 1)
+    odd = (np.bincount(bit.astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
+def shortened(sketch: np.ndarray) -> np.ndarray:
+    """The sketch of SKETCH_WORDS words that belongs to a longer one."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, SKETCH_WORDS), axis=0)
+
+
 def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else [], kind))
 
 
 def summaries(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, c and c2 (the class), sketch, and for each band how many words may be left out."""
+    """doc_id, n_shingles, c and c2 (the class), both sketches, and for each band how many words may be left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,13 +188,14 @@ def summaries(docs: DataFrame) -> DataFrame:
                 part = batch.slice(at, 2048)
                 sets = shingle_sets(part.column(1).to_pylist())
                 keys = [class_key(s) if len(s) else (None, None) for s in sets]
+                wide = [parity_bits(s) for s in sets]
                 slack = [np.array([b * 65536 + max(0, spare_words(s, b)) for b in bands_of(len(s))] if len(s) else [], np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), lists([parity_bits(s) for s in sets], pa.int64()), lists(slack, pa.int64())],
-                    ["doc_id", "n_shingles", "c", "c2", "sketch", "slack"],
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), lists([shortened(w) for w in wide], pa.int64()), lists(wide, pa.int64()), lists(slack, pa.int64())],
+                    ["doc_id", "n_shingles", "c", "c2", "sketch", "wide", "slack"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, c long, c2 long, sketch array<long>, slack array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, c long, c2 long, sketch array<long>, wide array<long>, slack array<long>")
 
 
 def key_rows(docs: DataFrame) -> DataFrame:
@@ -226,12 +234,18 @@ def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def plausible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that the bounds on sizes and sketches do not rule out."""
-    one, two = (facts.select(F.col("c").alias(k), F.col("n").alias("n" + k), F.col("sketch").alias("s" + k)) for k in ("a", "b"))
-    return pairs.join(one, "a").join(two, "b").where(within_bounds("na", "nb", "sa", "sb")).select(*pairs.columns)
+    """The pairs (a, b) that the bounds on sizes and long sketches do not rule out."""
+    one, two = (facts.select(F.col("c").alias(k), F.col("n").alias("n" + k), F.col("wide").alias("s" + k)) for k in ("a", "b"))
+    return pairs.join(one, "a").join(two, "b").where(within_bounds("na", "nb", folded("sa", "sb"), folded("sb", "sa"))).select(*pairs.columns)
+
+
+def folded(sketch: str, other: str):
+    """``sketch`` at the length of ``other`` where it is twice as long; beyond that the sizes alone rule a pair out."""
+    half = F.floor(F.size(sketch) / 2).cast("int")
+    return F.when(F.size(sketch) > F.size(other), F.zip_with(F.slice(sketch, F.lit(1), half), F.slice(sketch, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(sketch))
 
 
-def within_bounds(n1: str, n2: str, sketch1: str, sketch2: str):
+def within_bounds(n1: str, n2: str, sketch1, sketch2):
     differ = F.aggregate(F.zip_with(sketch1, sketch2, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     return (5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2)) & (9 * differ <= F.col(n1) + F.col(n2))
 
@@ -276,7 +290,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = key_rows(rows).withColumn("first", F.first("c").over(order)).withColumn("before", F.lag("c").over(order)).where("c != before")
     stars = materialize(stars.select("key", "c", "first", "before"), "shingle-stars")
 
-    facts = materialize(known.where("n_shingles > 0").groupBy("c").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "shingle-facts")
+    facts = materialize(known.where("n_shingles > 0").groupBy("c").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")), "shingle-facts")
     partners = stars.select("c", F.explode(F.array_distinct(F.array("first", "before"))).alias("a")).groupBy("a", "c").agg(F.count("*").alias("shared"))
     partners = materialize(plausible(partners.select("a", F.col("c").alias("b"), "shared"), facts), "shingle-partners")
 
@@ -324,10 +338,11 @@ def remaining_pairs(stars: DataFrame, known: DataFrame, facts: DataFrame, found:
     free = held.join(spare, ["c", "band"]).where("n_common <= spare").select("c", "band")
     live = rooted.join(state.where("open"), "key").withColumn("band", F.col("key").bitwiseAND(F.lit(63)))
     kept = live.where(F.col("size") <= COMMON).select("key", "c", "root").unionByName(live.where(F.col("size") > COMMON).join(free, ["c", "band"], "left_anti").select("key", "c", "root"))
-    full = kept.join(facts, "c")
+    full = kept.join(facts.select("c", "n", "sketch"), "c")
     one, two = (full.select("key", *(F.col(x).alias(x + k) for x in ("c", "root", "n", "sketch"))) for k in ("1", "2"))
     close = (F.col("c1") < F.col("c2")) & (F.col("root1") != F.col("root2")) & within_bounds("n1", "n2", "sketch1", "sketch2")
-    return one.join(two, "key").where(close).select(F.col("c1").alias("a"), F.col("c2").alias("b")).distinct()
+    pairs = one.join(two, "key").where(close).select(F.col("c1").alias("a"), F.col("c2").alias("b")).distinct()
+    return plausible(pairs, facts)  # long sketches meet each pair once, not each key
 
 
 def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -219,6 +219,17 @@ def test_sketch_bounds_the_difference():
         assert odd_bits <= len(np.setxor1d(a, b))
 
 
+def test_sketch_halves_fold_to_the_shorter_sketch(monkeypatch):
+    found = np.unique(np.random.default_rng(3).integers(0, 2**63, 5_000).astype(np.uint64))
+    wide = shingle_join.parity_bits(found)
+    assert len(wide) == 128
+    monkeypatch.setattr(shingle_join, "SKETCH_WORDS", 64)
+    assert np.array_equal(wide[:64] ^ wide[64:], shingle_join.shortened(wide))
+    monkeypatch.setattr(shingle_join, "SKETCH_WORDS", 256)
+    longer = shingle_join.parity_bits(found)
+    assert np.array_equal(longer[:128] ^ longer[128:], wide)
+
+
 @pytest.fixture(scope="module")
 def items(spark):
     return spark.createDataFrame([(1, " ".join(words(30, 21))), (2, " ".join(words(25, 22))), (3, None), (4, "tiny item"), (None, " ".join(words(20, 23)))], "item_id long, text string")
