@@ -1,13 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds find passages of test items, word-level Smith-Waterman scores them.
+"""Benchmark decontamination: n-gram seeds find passages of test items, word-level Smith-Waterman scores them.
 
-Seeds are the word trigrams of the items. A first pass counts in how many documents each seed occurs; a seed of an item is rare
-if it occurs in at most ``RARE`` times as many documents as the item's median seed, so an item whose whole text is popular keeps
-its seeds. A second pass looks up the rare seeds in every document, joins neighbouring hits of an item into windows, and aligns
-window and item: match 2, mismatch -1, gap -1, the score divided by that of the whole item. Windows that share too few words
-with the item to reach the threshold are not aligned.
+Seeds are the word trigrams of the items, common ones too, so what is found in a document does not depend on how many others hold
+the same passage. One pass looks up the seeds in every document, joins neighbouring hits of an item into windows, and aligns
+window and item: match 2, mismatch -1, gap -1, the score divided by that of the whole item. Only the parts of a window are
+aligned in which enough words of the item lie close enough together for the threshold; the bound is exact.
 
 The test items are the stated query set. They are taken in blocks of at most ``BLOCK_WORDS`` words, each sent to all tasks; any
-number of blocks follows, so a benchmark of any size works. No document leaves its task: nothing is shuffled but seed counts.
+number of blocks follows, so a benchmark of any size works. No document leaves its task: nothing is shuffled.
 
 Defined cases: words are runs of letters and digits, in lower case; null texts count as empty; items without words match
 nothing; items of under ``SHORT`` words need a score of ``SHORT_SCORE``; equal items and repeated rows are all reported; null
@@ -16,6 +15,7 @@ ids pass through; empty tables give an empty result; further columns are ignored
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-N, RARE, THRESHOLD, SHORT, SHORT_SCORE, BLOCK_WORDS = 3, 4.0, 0.5, 8, 0.9, 200_000
+N, THRESHOLD, SHORT, SHORT_SCORE, BLOCK_WORDS = 3, 0.5, 8, 0.9, 200_000
 MATCH, MISMATCH, GAP = 2, -1, 1
 WORD = re.compile(r"[^\W_]+")
 SCHEMA = "doc_id long, item_id long, score double, start_word int, end_word int"
@@ -60,6 +60,22 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[float, int, int]:
     return best[0] / (MATCH * max(1, len(item))), best[1], best[2]
 
 
+def span_of(size: int, need: float) -> int:
+    """The most words of a document that an alignment of a score of ``need`` covers: each gap costs half a match."""
+    return max(2 * size, math.ceil(size + 2 * size * (1 - need)))
+
+
+def dense(own: np.ndarray, span: int, least: float) -> list[tuple[int, int]]:
+    """Bounds of the parts in which ``span`` words in a row hold at least ``least`` words of the item; overlapping ones are one."""
+    total = np.concatenate([[0], np.cumsum(own)])
+    span = min(span, len(own))
+    starts = np.flatnonzero(total[span:] - total[: len(total) - span] >= least)
+    if not len(starts):
+        return []
+    cuts = np.flatnonzero(np.diff(starts) > span)
+    return list(zip(starts[np.concatenate([[0], cuts + 1])].tolist(), (starts[np.concatenate([cuts, [-1]])] + span).tolist(), strict=True))
+
+
 class ItemBlock:
     """Vocabulary and seeds of a block of items: [(item_id, words)]."""
 
@@ -69,12 +85,14 @@ class ItemBlock:
         self.base = len(self.vocabulary) + 1
         self.coded = [np.array([self.vocabulary[w] for w in words], np.int64) for _, words in items]
         self.sizes = sorted({min(N, len(c)) for c in self.coded if len(c)})
-        places = defaultdict(list)
+        places = defaultdict(set)
         for k, c in enumerate(self.coded):
-            for at, code in enumerate(self.grams(c, min(N, len(c))) if len(c) else []):
-                places[int(code)].append((k, at))
+            for code in self.grams(c, min(N, len(c))) if len(c) else []:
+                places[int(code)].add(k)
         self.seeds = np.array(sorted(places), np.int64)
-        self.places = [places[int(s)] for s in self.seeds]
+        owners = [sorted(places[int(s)]) for s in self.seeds]
+        self.first = np.cumsum([0, *map(len, owners)])
+        self.owner = np.array([k for o in owners for k in o], np.int64)
 
     def encode(self, text: str | None) -> np.ndarray:
         words = words_of(text)
@@ -102,35 +120,37 @@ class ItemBlock:
             which.append(found[same])
         return (np.concatenate(at), np.concatenate(which)) if at else (np.zeros(0, int), np.zeros(0, int))
 
-    def rare(self, counts: dict[int, int]) -> np.ndarray:
-        """Which (seed, item) places are rare for their item, as a flag for each place in order."""
-        own = defaultdict(list)
-        for s, places in enumerate(self.places):
-            for k, _ in places:
-                own[k].append(counts.get(s, 0))
-        limit = {k: max(1.0, RARE * float(np.median(v))) for k, v in own.items()}
-        self.kept = [[(k, at) for k, at in places if counts.get(s, 0) <= limit[k]] for s, places in enumerate(self.places)]
+    def places(self, coded: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each item with seeds in a document and the positions of those, in order."""
+        at, which = self.hits(coded, self.seeds)
+        counts = self.first[which + 1] - self.first[which]
+        inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        item, pos = self.owner[np.repeat(self.first[which], counts) + inner], np.repeat(at, counts)
+        order = np.lexsort((pos, item))
+        item, pos = item[order], pos[order]
+        cuts = np.flatnonzero(np.diff(item)) + 1
+        return zip(item[np.concatenate([[0], cuts])].tolist() if len(item) else [], np.split(pos, cuts), strict=False)
 
     def matches(self, text: str | None, threshold: float) -> list[tuple[int | None, float, int, int]]:
         coded = self.encode(text)
-        by_item = defaultdict(list)
-        for at, s in zip(*self.hits(coded, self.seeds), strict=True):
-            for k, _ in self.kept[s]:
-                by_item[k].append(int(at))
+        known, own = np.zeros(self.base, bool), np.zeros(self.base, bool)
+        known[coded] = True
         out = []
-        for k, found in by_item.items():
+        for k, found in self.places(coded):
             item, best = self.coded[k], (0.0, 0, 0)
             size, need = len(item), threshold if len(item) >= SHORT else max(threshold, SHORT_SCORE)
-            found.sort()
-            first = 0
-            for i in range(1, len(found) + 1):
-                if i == len(found) or found[i] - found[i - 1] > 2 * size:
-                    low, high = max(0, found[first] - 2 * size), min(len(coded), found[i - 1] + 2 * size)
-                    window = coded[low:high]
-                    if np.isin(item, window).sum() >= need * size:
-                        score, a, b = align(item, window)
-                        best = max(best, (score, low + a, low + b), key=lambda x: x[0])
-                    first = i
+            least, span = need * size - 1e-9, span_of(size, need)
+            if known[item].sum() < least:
+                continue
+            own[item] = True
+            for hits in np.split(found, np.flatnonzero(np.diff(found) > 2 * size) + 1):
+                low, high = max(0, int(hits[0]) - span), min(len(coded), int(hits[-1]) + span)
+                for a, b in dense(own[coded[low:high]], span, least):
+                    window = coded[low + a : low + b]
+                    if np.isin(item, window).sum() >= least:
+                        score, start, end = align(item, window)
+                        best = max(best, (score, low + a + start, low + a + end), key=lambda x: x[0])
+            own[item] = False
             if best[0] >= need:
                 out.append((self.items[k][0], *best))
         return out
@@ -148,28 +168,12 @@ def blocks_of(items: DataFrame, id_col: str, text_col: str) -> Iterator[ItemBloc
         yield ItemBlock(held)
 
 
-def seed_counts(rows: DataFrame, block: ItemBlock) -> dict[int, int]:
-    """In how many documents each seed occurs; at most one entry per seed of the block."""
-    sent = rows.sparkSession.sparkContext.broadcast(block)  # at most BLOCK_WORDS words and one item
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(sent.value.seeds), np.int64)
-        for batch in batches:
-            for text in batch.column(1).to_pylist():
-                total[np.unique(sent.value.hits(sent.value.encode(text), sent.value.seeds)[1])] += 1
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen], pa.int64())], ["seed", "n"])
-
-    return {r["seed"]: r["n"] for r in rows.mapInArrow(count, "seed int, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()}
-
-
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word) of every document passage that aligns with an item."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     spark, out = docs.sparkSession, None
     for block in blocks_of(items, item_id, item_text):
-        block.rare(seed_counts(rows, block))
-        sent = spark.sparkContext.broadcast(block)
+        sent = spark.sparkContext.broadcast(block)  # at most BLOCK_WORDS words and one item
 
         def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -247,6 +247,36 @@ def test_decontamination(spark, items, none, odd):
     assert decontaminate.contaminated(odd, items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("verbatim", [0, 1])
+def test_decontamination_of_passages_that_many_documents_hold(spark, items, verbatim):
+    """Every fourth word replaced, in 100 documents, with and without a whole copy; one more holds a seed of the item elsewhere too."""
+    one, other = words(30, 21), words(120, 5)
+    edited = [w if i % 4 != 3 else f"new{i}" for i, w in enumerate(one)]
+    rows = [(i, " ".join(words(40, 200 + i) + edited + words(9, 400 + i))) for i in range(100)]
+    rows += [(100, " ".join(one[6:9] + other + edited + words(200, 6)))] + [(101, " ".join(one))] * verbatim
+    got = decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(i, 1) for i in range(101 + verbatim)}
+    assert {(r.start_word, r.end_word) for r in got if r.doc_id < 100} == {(40, 70)}
+
+
+def test_decontamination_brute_force():
+    """Long documents of few words, so that most seeds are common: the windows lose no alignment that holds a seed."""
+    rng = np.random.default_rng(8)
+    vocabulary = np.array([f"w{i}" for i in range(60)])
+    found = 0
+    for _ in range(40):
+        item = rng.choice(vocabulary, rng.integers(8, 20))
+        held = [w for w in item if rng.random() > 0.15] if rng.random() < 0.7 else []
+        text = " ".join([*rng.choice(vocabulary, rng.integers(0, 150)), *held, *rng.choice(vocabulary, rng.integers(3, 150))])
+        block = decontaminate.ItemBlock([(1, item.tolist())])
+        score = decontaminate.align(block.coded[0], block.encode(text))[0]
+        if len(block.hits(block.encode(text), block.seeds)[0]):
+            got = block.matches(text, 0.5)
+            assert [m[1] for m in got] == [score] * (score >= 0.5)
+            found += score >= 0.5
+    assert found > 10
+
+
 def test_alignment_brute_force():
     rng = np.random.default_rng(4)
     for _ in range(30):
