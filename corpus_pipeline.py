@@ -1,7 +1,7 @@
 """Document pipeline: stages of the training-data operators, each written as Parquet and read again by the next.
 
 Language ID drops documents without a language, the shingle join keeps one document of each group of near duplicates,
-decontamination drops documents that hold a benchmark passage, mixing repeats documents so that sources meet their weights, and
+decontamination drops documents that hold a benchmark passage (both decide by row, not by doc_id), mixing repeats documents so that sources meet their weights, and
 the last stage writes the token files and returns what they hold.
 """
 
@@ -25,17 +25,29 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return identify(docs, learn_samples(docs), keep=COLUMNS).where("lang_pred != 'und'").select(COLUMNS)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a number each, written once so that it stays theirs: ids may be null, shared or repeated."""
+    return materialize(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()), "keyed-rows")
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each component; documents without words or id are each their own."""
-    found, _ = near_duplicates(docs)
-    others = found.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(COLUMNS)
+    """Keeps one row of each component: that with the smallest doc_id, null ids last; rows without words are each their own.
+
+    Rows of one doc_id go by a hash of their content, so only equal rows depend on how the table is cut.
+    """
+    rows = keyed(docs)
+    found, _ = near_duplicates(rows, id_col="row")
+    rank = F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", F.xxhash64(*COLUMNS).alias("content"), "row")
+    ranked = found.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", rank.alias("rank")), "row")
+    kept = ranked.groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank.row")
+    return rows.join(kept, "row", "left_semi").select(COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a passage of the benchmark."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(COLUMNS)
+    """Drops the rows that hold a passage of the benchmark."""
+    rows = keyed(docs)
+    found = contaminated(rows, table(spark, sf_dir, "benchmark"), id_col="row").select(F.col("doc_id").alias("row")).distinct()
+    return rows.join(found, "row", "left_anti").select(COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -462,3 +462,24 @@ def test_pipeline(spark):
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
         if any(b in r.text for b in benchmark):
             assert r.doc_id not in seen[2]
+
+
+def test_pipeline_decides_by_row(spark):
+    """Null, shared and repeated ids: one row of each group stays, clean rows stay, contaminated ones go."""
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(words(60, 300 + i)) for i in range(4))
+    leak = " ".join(words(20, 310)) + " " + spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    near = b + " more"
+
+    def table_of(rows):
+        return spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+    def run(stage, rows):
+        return Counter((r.doc_id, r.text) for r in stage(spark, table_of(rows), SF).collect())
+
+    rows = [(None, a), (None, a), (None, a), (1, b), (2, near), (2, c), (3, d), (3, d), (None, ""), (None, None), (4, ""), (4, "")]
+    assert run(corpus_pipeline.near_duplicate_stage, rows) == Counter([(None, a), (1, b), (2, c), (3, d), (None, ""), (None, None), (4, ""), (4, "")])
+    assert run(corpus_pipeline.near_duplicate_stage, [(None, a), (7, a), (9, a)]) == Counter([(7, a)])
+    rows = [(None, leak), (None, a), (5, leak), (5, b), (6, c), (6, c)]
+    assert run(corpus_pipeline.decontamination_stage, rows) == Counter([(None, a), (5, b), (6, c), (6, c)])
