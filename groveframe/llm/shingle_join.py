@@ -17,7 +17,8 @@ many documents (a common line alone in its block) are treated in the same way in
 Equal sets are one class, represented by its smallest doc_id, and each task emits a class once, so copies of a text cost no
 more than one. Within a join key each class is first paired with the key's first class and the one before it, never with all.
 Pairs are verified on their full sets; classes already connected need no further pairs; what remains open in any key is then
-compared in full, which settles every link between different texts.
+compared in full. This settles the components, which is what the query and the pipeline ask for; ``all_links`` and
+``link_counts`` verify every pair that the sketches leave, inside components too.
 
 Defined cases: words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; with fewer than five words the whole sequence is one
 shingle; null, empty and blank texts have the empty set, link with nothing and are their own component; repeated rows are equal
@@ -345,5 +346,37 @@ def remaining_pairs(stars: DataFrame, known: DataFrame, facts: DataFrame, found:
     return plausible(pairs, facts)  # long sketches meet each pair once, not each key
 
 
+def all_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The classes (c, doc_id, copies, n) and every link (a, b), a < b, between two of them, inside components too.
+
+    All pairs of a join key that the bounds leave are verified; no word is left out. A key of over COMMON classes is dealt to as
+    many shares as it holds times COMMON: one side goes to its share, the other to all. Copies are linked by being one class.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    known = materialize(summaries(rows).where("n_shingles > 0"), "shingle-summaries")
+    grouped = known.groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("c2").alias("low"), F.max("c2").alias("high"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
+    facts = materialize(grouped, "shingle-facts")
+    if facts.where("low != high").limit(1).count():
+        raise RuntimeError("two different sets share a 64-bit class id")
+    classes = facts.select("c", "doc_id", "copies", "n")
+    keys = materialize(key_rows(rows).distinct(), "shingle-keys")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    full = keys.join(sizes, "key").withColumn("shares", F.ceil(F.col("size") / COMMON)).join(facts.select("c", "n", "sketch"), "c")
+    one = full.select("key", F.pmod(F.xxhash64("c"), F.col("shares")).alias("share"), F.col("c").alias("c1"), F.col("n").alias("n1"), F.col("sketch").alias("sketch1"))
+    two = full.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("sketch").alias("sketch2"))
+    close = (F.col("c1") < F.col("c2")) & within_bounds("n1", "n2", "sketch1", "sketch2")
+    pairs = one.join(two, ["key", "share"]).where(close).select(F.col("c1").alias("a"), F.col("c2").alias("b")).distinct()
+    pairs = materialize(plausible(pairs, facts.select("c", "n", "wide")), "shingle-pairs")
+    return classes, verified(pairs, sets_of(rows, pairs, classes))
+
+
+def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(c, doc_id, copies, n_links) of every class: how many other rows each of its rows links with, copies among them."""
+    classes, links = all_links(docs, id_col, text_col)
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.join(classes.select(F.col("c").alias("b"), "copies"), "b").groupBy(F.col("a").alias("c")).agg(F.sum("copies").alias("near"))
+    return classes.join(near, "c", "left").select("c", "doc_id", "copies", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+
+
 def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))[0]

@@ -219,6 +219,24 @@ def test_sketch_bounds_the_difference():
         assert odd_bits <= len(np.setxor1d(a, b))
 
 
+def test_all_links_brute_force(spark):
+    """Every link inside the groups of near copies, copies counted, and a short template whose only shared key is common."""
+    base, rng = words(90, 51), np.random.default_rng(5)
+    texts = [" ".join(f"new{i}-{j}" if rng.random() < 0.02 else w for j, w in enumerate(base)) for i in range(15)]
+    texts += [" ".join([*base, f"end{i}"]) for i in range(15)] + [" ".join(base)] * 3 + [" ".join(base[:-6])]
+    texts += [" ".join(words(8, 52))] + [" ".join([*words(8, 52), f"x{i}"]) for i in range(40)] + ["", None]
+    sets = shingle_join.shingle_sets(texts)
+    near = [[j for j in range(len(texts)) if j != i and len(sets[i]) and len(sets[j]) and 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))] for i in range(len(texts))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    classes, links = shingle_join.all_links(docs)
+    owner = {r.c: r.doc_id for r in classes.collect()}
+    got = {frozenset((owner[r.a], owner[r.b])) for r in links.collect()}
+    firsts = set(owner.values())
+    assert got == {frozenset((i, j)) for i in firsts for j in near[i] if j in firsts}
+    assert len(got) > len(firsts) + 40
+    assert {r.doc_id: r.n_links for r in shingle_join.link_counts(docs).collect()} == {i: len(near[i]) for i in firsts}
+
+
 def test_sketch_halves_fold_to_the_shorter_sketch(monkeypatch):
     found = np.unique(np.random.default_rng(3).integers(0, 2**63, 5_000).astype(np.uint64))
     wide = shingle_join.parity_bits(found)
