@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from groveframe.llm import attention_model, decontaminate, fingerprints, language_model, languages, mixing, passages, quality, shingle_join, token_files, warc
+from groveframe.llm import attention_model, decontaminate, fingerprints, language_model, languages, mixing, passages, quality, shingle_join, spelling, token_files, warc
 from groveframe.llm.common import materialize, scratch
 from groveframe.llm.subwords import ByteLevelEncoder
 
@@ -348,34 +348,84 @@ def test_warc(spark, least):
     assert warc.read_archives(warc.write_archives(pages.limit(0), scratch(spark, "warc"))).count() == 0
 
 
+def made_sequence(rng, lengths):
+    n = int(np.sum(lengths))
+    return attention_model.Sequence(rng.integers(0, attention_model.INPUTS, n), rng.integers(0, 9, n), rng.integers(0, attention_model.GROUPS, n), np.array(lengths))
+
+
 def test_attention_gradients():
     rng = np.random.default_rng(0)
-    p = {k: v.astype(np.float64) for k, v in attention_model.init(rng.integers(1, 50, attention_model.IDS)).items()}
-    w = attention_model.windows(rng.integers(0, attention_model.IDS, 130), np.array([40, 1, 89]))
-    assert len(w.owner) == 130 and np.bincount(w.owner).tolist() == [40, 1, 89]
-    _, g = attention_model.gradients(p, w.ids, w.targets, w.take)
+    p = {k: v.astype(np.float64) + 0.01 * (k == "U") * rng.standard_normal(v.shape) for k, v in attention_model.init().items()}
+    seq, w = made_sequence(rng, [70, 1, 99]), attention_model.windows(np.array([70, 1, 99]))
+    assert sorted(w.at[w.take].tolist()) == list(range(170))  # each place once
+    prior = rng.random((170, attention_model.GROUPS)) + 0.1
+    here = w.at[w.take]
+    call = lambda: attention_model.gradients(p, seq.ids[w.at], w.take, prior[here], seq.groups[here])
+    g = call()[1]
     for k in p:
         at = tuple(np.unravel_index(np.abs(g[k]).argmax(), g[k].shape))
         sides = []
         for e in (1e-5, -2e-5):
             p[k][at] += e
-            sides.append(attention_model.gradients(p, w.ids, w.targets, w.take)[0])
+            sides.append(call()[0])
         p[k][at] += 1e-5
         assert abs((sides[0] - sides[1]) / 2e-5 - g[k][at]) < 1e-4
 
 
-def test_attention_is_a_distribution_and_causal():
+def naive_log_prob(p, ids, prior, group):
+    """The last of some ids, one number at a time: attention over all of them, no windows or buffers."""
+    x = [p["E"][i] + p["P"][k] for k, i in enumerate(ids)]
+    weights = [math.exp(float((x[-1] @ p["Q"]) @ (z @ p["K"]))) for z in x]
+    h = x[-1] + sum(w * (z @ p["V"]) for w, z in zip(weights, x, strict=True)) / sum(weights)
+    h = h + np.maximum(h @ p["W1"] + p["b1"], 0) @ p["W2"]
+    e = np.exp(h @ p["U"]) * prior
+    return math.log(e[group] / e.sum())
+
+
+def test_attention_scores_brute_force():
     rng = np.random.default_rng(1)
-    p = attention_model.init(rng.integers(1, 50, attention_model.IDS))
-    ids = np.full((attention_model.IDS, attention_model.WINDOW), 7)
-    targets = np.zeros_like(ids)
-    targets[:, 3] = np.arange(attention_model.IDS)
-    take = np.zeros(ids.shape, bool)
-    take[:, 3] = True
-    got = attention_model.log_probs(p, ids, targets, take)
-    assert math.isclose(np.exp(got).sum(), 1, rel_tol=1e-4)
-    ids[:, 4:] = 9
-    assert np.allclose(attention_model.log_probs(p, ids, targets, take), got, atol=1e-5)
+    p = attention_model.init()
+    p["U"] = rng.standard_normal(p["U"].shape).astype(np.float32)
+    lengths = [1, 5, attention_model.WINDOW, attention_model.WINDOW + 1, 3 * attention_model.WINDOW]
+    seq, prior = made_sequence(rng, lengths), (rng.random((9, attention_model.GROUPS)) + 0.01).astype(np.float32)
+    got, at = attention_model.score_texts(p, seq, prior), 0
+    for n, value in zip(lengths, got, strict=True):
+        total = 0.0
+        for i in range(n):
+            # the window that counts place i: the first one, or that in which i is among its last STRIDE places
+            k = 0 if i < attention_model.WINDOW else -(-(i + 1 - attention_model.WINDOW) // attention_model.STRIDE)
+            ids = seq.ids[at + k * attention_model.STRIDE : at + i + 1]
+            total += naive_log_prob(p, ids, prior[seq.contexts[at + i]], seq.groups[at + i])
+        assert abs(total - value) < 1e-3 * n
+        at += n
+
+
+def test_prior_is_a_distribution():
+    """In any context the probabilities of all subwords and of the end of the word add up to one, whatever was counted."""
+    known, stop = language_model.word_table(BPE), language_model.word_table(BPE).stop
+    texts = [words(40, 8) + ["the", "tree's", "and"] * 5, ["the", "12,5", "straße"]]
+    numbers = [known.numbers([w.encode() for w in t]) for t in texts]
+    prefix, cell, n = known.edges(np.bincount(np.concatenate(numbers), minlength=len(known.number)))
+    prefix, cell, n = np.append(prefix, 0), np.append(cell, stop << spelling.SHIFT | stop), np.append(n, 2)
+    piece, inner = cell & language_model.LOW, prefix != 0
+    cells, back = np.unique(cell[inner], return_inverse=True)
+    for most in (1000, 5):  # with and without falling back to the last subword
+        prior = spelling.build_prior(stop, Counter(dict(enumerate(np.bincount(piece, n)))), np.bincount(piece[~inner], n[~inner], stop + 1), (prefix, cell, n), (cells, np.bincount(back, n[inner])), [], 64, most)
+        assert np.allclose(prior.rows.sum(1), 1, atol=1e-4)
+        every = np.arange(stop)
+        begins = np.flatnonzero(prior.group < spelling.STARTS)
+        assert abs((10 ** prior.place(np.zeros(len(begins), np.uint64), np.full(len(begins), stop), begins)).sum() - len(set(prior.group[begins]))) < 1e-6
+        insides = every[prior.group[:-1] >= spelling.STARTS]
+        for at in np.flatnonzero(inner)[:20]:
+            last = np.full(len(insides), cell[at] >> spelling.SHIFT)
+            p = 10 ** prior.place(np.full(len(insides), prefix[at]).view(np.uint64), last, insides)
+            assert np.allclose(np.bincount(prior.group[insides], p, spelling.STARTS + spelling.INNER)[sorted(set(prior.group[insides]))], 1, atol=1e-4)
+
+
+def test_model_beats_the_unigram_base_on_held_out_text(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    r = language_model.model_scores(docs, BPE).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert r.s / r.n > r.b / r.n + 0.02
 
 
 @pytest.mark.parametrize("table", ["documents", "odd", "none"])
