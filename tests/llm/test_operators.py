@@ -23,6 +23,7 @@ from ..conftest import SF
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, fingerprint int"
 BPE = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def words(n: int, seed: int = 1) -> list[str]:
@@ -400,9 +401,18 @@ def test_attention_scores_brute_force():
         at += n
 
 
+def test_words_encode_as_one_text():
+    known = spelling.WordTable(RANKS)
+    odd_words = ["the", "don't", "'t", "12,5", "straße", "\u00a0x", "x\u00a0", "\u2003", "🌲🌲", "<|endoftext|>", "a" * 5000, "日本語", "$$$", "end."]
+    for some in (odd_words, ["x\u00a0", "\u00a0y"], ["plain"]):
+        numbers = known.numbers([w.encode() for w in some])
+        for w, i in zip(some, numbers, strict=True):
+            assert known.pieces[known.starts[i] : known.starts[i + 1]].tolist() == known.encoder.encode_ordinary(" " + w)
+
+
 def test_prior_is_a_distribution():
     """In any context the probabilities of all subwords and of the end of the word add up to one, whatever was counted."""
-    known, stop = language_model.word_table(BPE), language_model.word_table(BPE).stop
+    known, stop = language_model.word_table(RANKS), language_model.word_table(RANKS).stop
     texts = [words(40, 8) + ["the", "tree's", "and"] * 5, ["the", "12,5", "straße"]]
     numbers = [known.numbers([w.encode() for w in t]) for t in texts]
     prefix, cell, n = known.edges(np.bincount(np.concatenate(numbers), minlength=len(known.number)))
@@ -424,14 +434,14 @@ def test_prior_is_a_distribution():
 
 def test_model_beats_the_unigram_base_on_held_out_text(spark):
     docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
-    r = language_model.model_scores(docs, BPE).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    r = language_model.model_scores(docs, RANKS).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
     assert r.s / r.n > r.b / r.n + 0.02
 
 
 @pytest.mark.parametrize("table", ["documents", "odd", "none"])
 def test_language_model(request, table):
     docs = request.getfixturevalue(table)
-    got = language_model.model_scores(docs, BPE, steps=60).collect()
+    got = language_model.model_scores(docs, RANKS, steps=60).collect()
     rows = [(r.doc_id, (r.text or "").encode().lower().split() + [b"\0end"]) for r in docs.collect()]
     fold = lambda k: zlib.crc32(("" if k is None else str(k)).encode()) % 5 == 1
     counts = Counter(w for k, t in rows if not fold(k) for w in t)
@@ -442,9 +452,9 @@ def test_language_model(request, table):
 
 
 def test_words_beyond_the_frequent_are_joined(documents, monkeypatch):
-    full = {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in language_model.model_scores(documents, BPE, steps=1).collect()}
+    full = {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in language_model.model_scores(documents, RANKS, steps=1).collect()}
     monkeypatch.setattr(language_model, "FREQUENT", 5)
-    assert {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in language_model.model_scores(documents, BPE, steps=1).collect()} == full
+    assert {r.doc_id: (r.n_known, round(r.base_score, 6)) for r in language_model.model_scores(documents, RANKS, steps=1).collect()} == full
 
 
 def test_languages(documents, odd, none):
