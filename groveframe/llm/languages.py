@@ -5,11 +5,13 @@ still occur in the sample. A document is parsed greedily into longest such phras
 c * log2(sample length) / symbols, estimates its cross entropy against that language. The lowest wins, ties go to the first
 language by name.
 
-Texts are parsed whole, as folded letters with runs of other characters as one blank, in lanes of ``LANE`` symbols that are
-stepped together; a lane starts a new phrase. The automata are dense tables, so a step is a table look-up for all lanes.
+Texts are parsed whole, as folded letters with runs of other characters as one blank. To step many at once they are cut into
+lanes of ``LANE`` symbols, each parsed as if it began a phrase; then each lane is parsed again from the state in which the lane
+before it ended, until it meets the states found first, and so on while ends change. The result is that of one parse from start
+to end. The automata are dense tables, so a step is a table look-up for all lanes.
 
-The labelled sample is bounded: ``SAMPLE_SYMBOLS`` symbols per language, at most ``DOC_SYMBOLS`` characters of one document,
-from documents drawn by hash from the training folds. Everything else covers all rows.
+The labelled sample is bounded by rows: whole documents of the training folds in the order of a hash, of at most
+``SAMPLE_CHARS`` characters a language together (if all are longer, the shortest one, whole). Everything else covers all rows.
 
 Defined cases: ``und`` with score 0 for null texts, texts without a letter, or if nothing was learned; null ids pass through;
 repeated rows get a result each; an empty table gives an empty result; further columns are ignored unless asked for.
@@ -28,21 +30,29 @@ from pyspark.sql import functions as F
 
 from .common import fraction_of, table
 
-SAMPLE_SYMBOLS, DOC_SYMBOLS, SAMPLE_DOCS, MAX_LANGUAGES = 12_000, 600, 60, 512
-LETTERS, LANE, STEP_CHARS = 45, 512, 1 << 20
+SAMPLE_CHARS, SAMPLE_DOCS, MAX_LANGUAGES = 20_000, 60, 512
+#: Letters with a symbol of their own, and symbols that all further letters share by code point.
+LETTERS, SHARED = 120, 120
+LANE, STEP_CHARS = 512, 1 << 20
 
 
 class Alphabet:
-    """Code points to symbols: 0 for what is no letter, 1.. for the most frequent folded letters, the last for other letters."""
+    """Code points to symbols: 0 for what is no letter, then the folded letters of the samples, the last for letters they lack."""
 
     def __init__(self, samples: list[str]):
         seen = Counter(c for s in samples for c in s.lower() if c.isalpha())
-        self.symbols = {c: i + 1 for i, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS])}
-        self.size = len(self.symbols) + 2
+        ranked = sorted(seen, key=lambda c: (-seen[c], c))
+        self.symbols = {c: i + 1 for i, c in enumerate(ranked[:LETTERS])}
+        shared = sorted({ord(c) % SHARED for c in ranked[LETTERS:]})
+        self.shared = {k: len(self.symbols) + 1 + i for i, k in enumerate(shared)}
+        self.size = len(self.symbols) + len(shared) + 2
         self.codes = np.fromiter((self.symbol(chr(c)) for c in range(0x10000)), np.uint8, 0x10000)
 
     def symbol(self, c: str) -> int:
-        return self.symbols.get(c.lower()[:1], self.size - 1) if c.isalpha() else 0
+        if not c.isalpha():
+            return 0
+        folded = c.lower()[:1]
+        return self.symbols.get(folded) or self.shared.get(ord(folded) % SHARED, self.size - 1)
 
     def encode(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
@@ -106,42 +116,66 @@ class CrossParser:
     def __init__(self, samples: dict[str, str]):
         self.names = sorted(samples)
         self.alphabet = Alphabet([samples[k] for k in self.names])
-        coded = [self.alphabet.encode(samples[k])[:SAMPLE_SYMBOLS] for k in self.names]
+        coded = [self.alphabet.encode(samples[k]) for k in self.names]
         self.bits = np.array([math.log2(max(2, len(s))) for s in coded])
         self.tables = [parse_table(suffix_automaton(s.tolist()), self.alphabet.size) for s in coded]
 
-    def phrases(self, lanes: np.ndarray) -> np.ndarray:
-        """Phrases of each lane for each language; ``lanes`` is (steps, lanes) of symbols, padded at the end."""
+    def phrases(self, lanes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Phrases that start in each lane, for each language; ``lanes`` is (steps, lanes) of symbols, padded at the end.
+
+        ``begins`` marks the lanes that begin a text; any other goes on with the text of the lane before it.
+        """
         out = np.empty((len(self.tables), lanes.shape[1]), np.int64)
+        states, starts = np.empty(lanes.shape, np.int32), np.empty(lanes.shape, np.uint8)
         for k, steps in enumerate(self.tables):
-            at = np.full(lanes.shape[1], len(steps) - self.alphabet.size - 1, steps.dtype)  # the extra state: a phrase starts
-            count = np.zeros(lanes.shape[1], steps.dtype)
-            for row in lanes:
+            fresh = len(steps) - self.alphabet.size - 1  # the extra state: a phrase starts
+            at = np.full(lanes.shape[1], fresh, steps.dtype)
+            for i, row in enumerate(lanes):
                 got = steps.take(at + row)
-                count += got & 1
-                at = got >> 1
-            out[k] = count
+                starts[i], at = got & 1, got >> 1
+                states[i] = at
+            entered = np.full(lanes.shape[1], fresh, np.int32)
+            while True:
+                due = np.where(begins, fresh, np.roll(states[-1], 1))
+                live = np.flatnonzero(due != entered)
+                if not len(live):
+                    break
+                entered, at = due, due[live].astype(steps.dtype)
+                for i in range(len(lanes)):
+                    got = steps.take(at + lanes[i, live])
+                    at = got >> 1
+                    starts[i, live] = got & 1
+                    apart = states[i, live] != at
+                    states[i, live] = at
+                    live, at = live[apart], at[apart]
+                    if not len(live):
+                        break
+            out[k] = starts.sum(0, dtype=np.int64)
         return out
 
+    def lanes_of(self, text: str) -> tuple[np.ndarray, int, int]:
+        """The lanes of a text (lanes x steps), its number of letters and of symbols."""
+        parts, blank = [], False
+        for at in range(0, len(text), STEP_CHARS):
+            coded = self.alphabet.encode(text[at : at + STEP_CHARS])
+            parts.append(coded[1:] if blank and coded[0] == 0 else coded)
+            blank = bool(coded[-1] == 0)
+        coded = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+        n = -(-len(coded) // LANE)
+        padded = np.full(n * LANE, self.alphabet.size, np.uint8)
+        padded[: len(coded)] = coded
+        return padded.reshape(n, LANE), int(np.count_nonzero(coded)), len(coded)
+
     def rate(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Normalised phrases (languages x texts) and the number of letters of each text."""
-        rows, owner, letters, symbols = [], [], np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            for at in range(0, len(text), STEP_CHARS):
-                coded = self.alphabet.encode(text[at : at + STEP_CHARS])
-                letters[i] += np.count_nonzero(coded)
-                symbols[i] += len(coded)
-                n = -(-len(coded) // LANE)
-                padded = np.full(n * LANE, self.alphabet.size, np.uint8)
-                padded[: len(coded)] = coded
-                rows.append(padded.reshape(n, LANE))
-                owner += [i] * n
+        rows, letters, symbols = zip(*map(self.lanes_of, texts), strict=True) if texts else ((), (), ())
+        owner = np.repeat(np.arange(len(texts)), [len(r) for r in rows])
         total = np.zeros((len(self.names), len(texts)))
-        if owner:
+        if len(owner):
             lanes = np.ascontiguousarray(np.concatenate(rows).T).astype(np.int32)
-            for k, counts in enumerate(self.phrases(lanes)):
+            for k, counts in enumerate(self.phrases(lanes, np.append(True, owner[1:] != owner[:-1]))):
                 total[k] = np.bincount(owner, counts, len(texts))
-        return total * self.bits[:, None] / np.maximum(symbols, 1), letters
+        return total * self.bits[:, None] / np.maximum(symbols, 1), np.array(letters, np.int64)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         rate, letters = self.rate([t or "" for t in texts])
@@ -177,12 +211,18 @@ def learn_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     for r in counts:
         share = int(min(1.0, SAMPLE_DOCS / r["count"]) * (1 << 30))
         chosen = chosen | ((F.col("lang") == r["lang"]) & (order < share))
-    drawn = usable.where("text is not null").where(chosen).select("lang", order.alias("o"), F.left("text", F.lit(DOC_SYMBOLS)).alias("text")).collect()
-    samples: dict[str, str] = {}
+    rows = usable.where("text is not null").withColumn("size", F.length("text"))
+    drawn = rows.where(chosen & (F.col("size") <= SAMPLE_CHARS)).select("lang", order.alias("o"), "text").collect()
+    held: dict[str, list[str]] = {}
     for r in sorted(drawn, key=lambda r: (r["lang"], r["o"], r["text"])):
-        if any(c.isalpha() for c in r["text"]):
-            samples[r["lang"]] = samples.get(r["lang"], "") + r["text"] + " "
-    return samples
+        texts = held.setdefault(r["lang"], [])
+        if any(c.isalpha() for c in r["text"]) and len(r["text"]) + sum(map(len, texts)) <= SAMPLE_CHARS:
+            texts.append(r["text"])
+    if missing := [r["lang"] for r in counts if not held.get(r["lang"])]:
+        lettered = rows.where(F.col("lang").isin(missing) & F.col("text").rlike("\\p{L}"))
+        for r in lettered.groupBy("lang").agg(F.min_by("text", F.struct("size", "text")).alias("text")).collect():
+            held[r["lang"]] = [r["text"]]
+    return {lang: " ".join(texts) + " " for lang, texts in held.items() if texts}
 
 
 def identify(docs: DataFrame, samples: dict[str, str], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -191,7 +231,7 @@ def identify(docs: DataFrame, samples: dict[str, str], text_col: str = "text", k
     at = keep.index(text_col) if text_col in keep else len(keep)
     rows = docs.select(*keep, *([] if text_col in keep else [text_col]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", lang_pred string, score double"
-    sent = docs.sparkSession.sparkContext.broadcast(samples)  # bounded: SAMPLE_DOCS x DOC_SYMBOLS characters a language
+    sent = docs.sparkSession.sparkContext.broadcast(samples)  # bounded: about SAMPLE_CHARS a language
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = parser_of(sent.value)
