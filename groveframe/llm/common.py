@@ -78,3 +78,8 @@ def bucket_of(key: str, bounds: list[int]) -> Column:
         f"from_json('{json.dumps(padded)}', 'array<bigint>'), low + shiftleft(1, i)) < `{key}`, low + shiftleft(1, i), low))"
     )
     return F.coalesce(steps, F.lit(0))
+
+
+def one_task_each(rows: DataFrame, key: str) -> DataFrame:
+    """Small rows that stand for much work each (files): as many tasks as rows."""
+    return rows.repartitionByRange(max(1, rows.count()), key)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch, table
+from .common import materialize, one_task_each, scratch, table
 
 #: Fixed values of the Zstandard seekable format and its skippable frames.
 SKIPPABLE_INDEX, SKIPPABLE_SEEK, SEEK_FOOTER, CHECKSUM_FLAG = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -161,7 +161,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int, id
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [uri], "n_docs": [writer.n_docs], "n_tokens": [writer.n_tokens]}, pa.schema({"part": pa.int32(), "path": pa.string(), "n_docs": pa.int64(), "n_tokens": pa.int64()}))
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(F.col("id")).sortWithinPartitions("id", F.xxhash64("text"))
+    ordered = rows.withColumn("mark", F.xxhash64("text")).repartitionByRange("id", "mark").sortWithinPartitions("id", "mark").drop("mark")
     return materialize(ordered.mapInArrow(write, "part int, path string, n_docs long, n_tokens long"), "token-manifest")
 
 
@@ -181,10 +181,10 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
                 reader.close()
 
-    # one row a file: the running total over files is small
+    # one row a file: the running total over files is small; one task a file (a number given is not merged by adaptive execution)
     before = F.coalesce(F.sum("n_tokens").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     files = manifest.select("path", before.alias("start"))
-    return files.repartition(F.col("path")).mapInArrow(read, schema)
+    return one_task_each(files, "path").mapInArrow(read, schema)
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch, table
+from .common import materialize, one_task_each, scratch, table
 
 #: Fixed values of the compressed WARC format and of the revisit profile.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -181,7 +181,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 cols = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return manifest.select("path").repartition(F.col("path")).mapInArrow(read, SCHEMA)
+    return one_task_each(manifest.select("path"), "path").mapInArrow(read, SCHEMA)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 from groveframe.llm import attention_model, decontaminate, fingerprints, language_model, languages, mixing, passages, quality, shingle_join, spelling, token_files, warc
-from groveframe.llm.common import materialize, scratch
+from groveframe.llm.common import materialize, one_task_each, scratch
 from groveframe.llm.subwords import ByteLevelEncoder
 
 from ..conftest import SF
@@ -117,6 +117,13 @@ def test_token_files(spark, request, table):
         start += len(ids)
 
 
+def test_files_are_read_in_a_task_each(spark):
+    """Of 40 files none shares a task with more than one other; ranges are cut from a sample of the few rows, so most stand alone."""
+    files = spark.range(40).select(F.format_string("file-%03d", "id").alias("path"), F.lit(1).cast("long").alias("n_tokens"), F.col("id").cast("int").alias("part"))
+    dealt = one_task_each(files, "path").withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert len(dealt) == 40 and max(r["count"] for r in dealt) == 1
+
+
 def test_token_file_reader_fetches_only_asked_frames(tmp_path, monkeypatch):
     import zstandard
 
@@ -468,24 +475,40 @@ def test_languages(documents, odd, none):
 
 
 def test_cross_parsing_brute_force():
+    """Whole texts, longer than a lane too: the parse of the lanes is the greedy parse from start to end."""
     rng = np.random.default_rng(6)
     sample = "".join(rng.choice(list("abc "), 300))
     parser = languages.CrossParser({"x": sample})
-    known = parser.alphabet.encode(sample).tolist()
-    joined = ",".join(map(str, known)) + ","
-    for n in (1, 5, 60, 700):
-        coded = parser.alphabet.encode("".join(rng.choice(list("abcd "), n)))
-        phrases = 0
-        for at in range(0, len(coded), languages.LANE):
-            lane, i = coded[at : at + languages.LANE].tolist(), 0
-            while i < len(lane):
-                j = i + 1
-                while j < len(lane) and ("," + ",".join(map(str, lane[i : j + 1])) + ",") in "," + joined:
-                    j += 1
-                i, phrases = j, phrases + 1
-        lanes = np.full((-(-len(coded) // languages.LANE), languages.LANE), parser.alphabet.size, np.int32)
-        lanes.ravel()[: len(coded)] = coded
-        assert parser.phrases(np.ascontiguousarray(lanes.T)).sum() == phrases
+    joined = "," + ",".join(map(str, parser.alphabet.encode(sample).tolist())) + ","
+    texts = ["".join(rng.choice(list("abcd "), n)) for n in (0, 1, 5, 60, 700, 2000, 511, 512, 513)] + ["a" * 1500, sample * 5, "d" * 600]
+    rate, _ = parser.rate(texts)
+    for text, got in zip(texts, rate[0], strict=True):
+        coded, i, phrases = parser.alphabet.encode(text).tolist(), 0, 0
+        while i < len(coded):
+            j = i + 1
+            while j < len(coded) and ("," + ",".join(map(str, coded[i : j + 1])) + ",") in joined:
+                j += 1
+            i, phrases = j, phrases + 1
+        assert abs(got - phrases * parser.bits[0] / max(1, len(coded))) < 1e-9
+
+
+def test_language_samples_are_whole_rows(spark):
+    """Samples are whole texts; a language with none short enough gives its shortest; equal texts and ties are no matter."""
+    long = "mot " * 20_000
+    rows = [(i, t, k) for i, (t, k) in enumerate([("one two three", "en")] * 3 + [(long, "fr"), (long + "x", "fr"), (None, "de"), ("12 !", "xx"), ("", "en")])] + [(None, "no id here", "en")]
+    rows = [(None if i is None else 7 * i + 1, t, k) for i, t, k in rows]
+    got = languages.learn_samples(spark.createDataFrame(rows, "doc_id long, text string, lang string"), folds=1, held_out=9)
+    assert got["fr"] == long + " " and "de" not in got and "xx" not in got
+    assert set(got["en"].replace("one two three", "").split()) <= {"no", "id", "here"}
+    assert len(languages.CrossParser(got).tables) == 2
+
+
+def test_alphabet_covers_its_sample():
+    latin = languages.Alphabet(["abc déf ÀÉ"])
+    assert len({latin.symbol(c) for c in "abcdéfà"}) == 7 and latin.symbol("z") == latin.size - 1 and latin.symbol("1") == 0
+    many = "".join(chr(c) for c in range(0x4E00, 0x4E00 + 2000))
+    wide = languages.Alphabet([many])
+    assert wide.size <= 250 and all(0 < wide.symbol(c) < wide.size - 1 for c in many)
 
 
 def test_passages(spark, none, odd):
