@@ -83,3 +83,26 @@ def bucket_of(key: str, bounds: list[int]) -> Column:
 def one_task_each(rows: DataFrame, key: str) -> DataFrame:
     """Small rows that stand for much work each (files): as many tasks as rows."""
     return rows.repartitionByRange(max(1, rows.count()), key)
+
+
+#: Share of a table that is looked at to tell which keys are hot, rows of it that make a key hot, and shares of a hot key.
+HOT_SAMPLE, HOT_ROWS, HOT_SHARES = 1024, 20, 1024
+
+
+def in_sample(*columns) -> Column:
+    """Whether a row is in the sample that hot keys are told from; by a hash, so it is the same in every attempt."""
+    return F.pmod(F.xxhash64(F.lit(77), *columns), F.lit(HOT_SAMPLE)) == 0
+
+
+def hot_keys(sample: DataFrame, key: str = "key") -> DataFrame:
+    """Keys of so many rows in the sample that one task should not take them whole. Only how rows are dealt depends on it."""
+    return materialize(sample.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= HOT_ROWS).select(key), "hot-keys")
+
+
+def with_shares(rows: DataFrame, hot: DataFrame, by: str, key: str = "key") -> DataFrame:
+    """Adds ``share``: 0 for ordinary keys, one of HOT_SHARES from 1 on by a hash of ``by`` for hot ones.
+
+    The hot keys are sent to all tasks if Spark finds them small enough, else joined.
+    """
+    dealt = F.pmod(F.xxhash64(by), F.lit(HOT_SHARES)).cast("int") + 1
+    return rows.join(hot.withColumn("_hot", F.lit(True)), key, "left").withColumn("share", F.when(F.col("_hot"), dealt).otherwise(0)).drop("_hot")

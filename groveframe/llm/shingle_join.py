@@ -10,12 +10,16 @@ pairs agree in at least B - D words: a join on (band, block, word) finds them al
 and at least one for each shingle, bounds the difference likewise and rules out pairs before their sets are fetched. Its length
 is a power of two; XOR of its halves is the sketch of half the length, so sketches of neighbouring sizes can be compared.
 
+Classes are named by 64 bits of a hash of their set. Where two sets share a name, which the other 64 bits tell, all but one of
+them get another name; that is about one pair for each 2^65 pairs of sets.
+
 Words of empty blocks say nothing and would join everything. B leaves room beyond D + 1: as long as a document has fewer empty
 words than B - D, one of its matches is not empty, and its empty words are left out; otherwise they are kept. Words shared by
 many documents (a common line alone in its block) are treated in the same way in the last round. Both are exact.
 
 Equal sets are one class, represented by its smallest doc_id, and each task emits a class once, so copies of a text cost no
-more than one. Within a join key each class is first paired with the key's first class and the one before it, never with all.
+more than one. Within a join key each class is first paired with the key's first class and the one before it, never with all; a hot
+key is dealt to shares for this, whose first classes are then paired in the same way.
 Pairs are verified on their full sets; classes already connected need no further pairs; what remains open in any key is then
 compared in full. This settles the components, which is what the query and the pipeline ask for; ``all_links`` and
 ``link_counts`` verify every pair that the sketches leave, inside components too.
@@ -28,7 +32,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import hot_keys, in_sample, materialize, table, with_shares
 from .components import components
 
 SHINGLE = 5
@@ -47,6 +51,8 @@ SKETCH_WORDS = 8
 COMMON = 24
 CACHED_WORDS = 500_000
 VERIFY_BLOCKS = 2
+#: Bits of a number of spare words; the band stands above them.
+SPARE_BITS = 40
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -136,6 +142,59 @@ def class_key(found: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
+class ClassNames:
+    """Names of sets: 64 bits of ``key``, or another name for the few sets that share theirs."""
+
+    def __init__(self, key: Callable[[np.ndarray], tuple[int, int]] = class_key):
+        self.key, self.renamed = key, {}
+
+    def __call__(self, found: np.ndarray) -> tuple[int, int]:
+        c, c2 = self.key(found)
+        return self.renamed.get((c, c2), c), c2
+
+    def rename(self, known: DataFrame, shared: DataFrame) -> DataFrame:
+        """``known`` (c, c2, ...) with names of their own for all but one of the sets that share a name (c of ``shared``)."""
+        found = known.join(shared, "c").select("c", "c2").distinct().collect()  # about n * n / 2^65 of n sets
+        first: dict[int, int] = {}
+        for c, c2 in sorted(found):
+            if first.setdefault(c, c2) != c2:
+                self.renamed[c, c2] = int(mix(np.array([(c2 + FACTORS[0]) & (2**64 - 1)], np.uint64)).view(np.int64)[0])
+        names = known.sparkSession.createDataFrame([(*k, v) for k, v in self.renamed.items()], "c long, c2 long, _new long")
+        return known.join(F.broadcast(names), ["c", "c2"], "left").withColumn("c", F.coalesce("_new", "c")).drop("_new")
+
+
+def named_classes(rows: DataFrame, names: ClassNames) -> tuple[DataFrame, DataFrame]:
+    """The summaries of all rows, and of each class c: doc_id (the smallest), copies, n."""
+
+    def classes_of(known: DataFrame) -> DataFrame:
+        grouped = known.where("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("c2").alias("low"), F.max("c2").alias("high"), F.min("n_shingles").alias("n"))
+        return materialize(grouped, "shingle-classes")
+
+    known = materialize(summaries(rows, names), "shingle-summaries")
+    classes = classes_of(known)
+    shared = classes.where("low != high").select("c")
+    if not shared.isEmpty():
+        known = materialize(names.rename(known, shared), "shingle-summaries")
+        classes = classes_of(known)
+        if not classes.where("low != high").isEmpty():
+            raise RuntimeError("sets share the second name too")
+    return known, classes
+
+
+def star_rows(rows: DataFrame, names: ClassNames) -> DataFrame:
+    """(key, c, first, before): each class of a join key with the first one of the key, or of its share of a hot key, and the one before."""
+    hot = hot_keys(key_rows(rows.where(in_sample("doc_id", "text")), names).distinct())
+
+    def ranked(keys: DataFrame, *by: str) -> DataFrame:
+        order = W.partitionBy(*by).orderBy("c")
+        return keys.withColumn("first", F.first("c").over(order)).withColumn("before", F.lag("c").over(order))
+
+    inner = ranked(with_shares(key_rows(rows, names), hot, "c"), "key", "share").where("c != before or (before is null and share > 0)")
+    inner = materialize(inner.select("key", "c", "first", "before"), "shingle-stars")
+    heads = ranked(inner.where("before is null").select("key", "c"), "key").where("c != before")  # one of each share of a hot key
+    return inner.where("before is not null").unionByName(heads.select("key", "c", "first", "before"))
+
+
 def band_words(found: np.ndarray, band: int) -> np.ndarray:
     """Join keys of a set in a band; their last six bits hold the band."""
     d, blocks = BLOCKS[band]
@@ -180,7 +239,7 @@ def lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else [], kind))
 
 
-def summaries(docs: DataFrame) -> DataFrame:
+def summaries(docs: DataFrame, names: ClassNames) -> DataFrame:
     """doc_id, n_shingles, c and c2 (the class), both sketches, and for each band how many words may be left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,9 +247,9 @@ def summaries(docs: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 sets = shingle_sets(part.column(1).to_pylist())
-                keys = [class_key(s) if len(s) else (None, None) for s in sets]
+                keys = [names(s) if len(s) else (None, None) for s in sets]
                 wide = [parity_bits(s) for s in sets]
-                slack = [np.array([b * 65536 + max(0, spare_words(s, b)) for b in bands_of(len(s))] if len(s) else [], np.int64) for s in sets]
+                slack = [np.array([b << SPARE_BITS | max(0, spare_words(s, b)) for b in bands_of(len(s))] if len(s) else [], np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), lists([shortened(w) for w in wide], pa.int64()), lists(wide, pa.int64()), lists(slack, pa.int64())],
                     ["doc_id", "n_shingles", "c", "c2", "sketch", "wide", "slack"],
@@ -199,7 +258,7 @@ def summaries(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, c long, c2 long, sketch array<long>, wide array<long>, slack array<long>")
 
 
-def key_rows(docs: DataFrame) -> DataFrame:
+def key_rows(docs: DataFrame, names: ClassNames) -> DataFrame:
     """(key, c): the join keys of each class, at least once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +267,7 @@ def key_rows(docs: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 owners, keys = [], []
                 for found in shingle_sets(batch.column(1).slice(at, 512).to_pylist()):
-                    if len(found) and (c := class_key(found)[0]) not in done:
+                    if len(found) and (c := names(found)[0]) not in done:
                         done.add(c)
                         own = np.concatenate([band_words(found, b) for b in bands_of(len(found))])
                         owners.append(np.full(len(own), c, np.int64))
@@ -219,19 +278,26 @@ def key_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "key long, c long")
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(c, n, s): the sets of the wanted classes (c, doc_id)."""
+def class_sets(docs: DataFrame, wanted: DataFrame, names: ClassNames) -> DataFrame:
+    """(c, s): the sets of the wanted classes (c, doc_id). Classes of rows without an id are found by their name."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                found = list(zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist()), strict=True))
-                found = [(c, s) for c, s in found if len(s) and class_key(s)[0] == c]  # other rows may share the doc_id
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), lists([s.view(np.int64) for _, s in found], pa.int64())], ["c", "s"])
+    def sets(rows: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    found = [(c, names(s)[0], s) for c, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist()), strict=True) if len(s)]
+                    found = [(own, s) for c, own, s in found if c in (None, own)]  # other rows may share the doc_id
+                    yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), lists([s.view(np.int64) for _, s in found], pa.int64())], ["c", "s"])
+
+        return rows.mapInArrow(run, "c long, s array<long>")
 
-    rows = docs.join(wanted.select("c", F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id"))).select("c", "text")
-    return rows.mapInArrow(run, "c long, s array<long>")
+    out = sets(docs.join(wanted.where("doc_id is not null"), "doc_id").select("c", "text"))
+    nameless = wanted.where("doc_id is null").select("c")
+    if nameless.isEmpty():
+        return out
+    found = sets(docs.where("doc_id is null").select(F.lit(None).cast("long").alias("c"), "text")).join(nameless, "c", "left_semi")
+    return out.unionByName(found.groupBy("c").agg(F.first("s").alias("s")))
 
 
 def plausible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
@@ -251,11 +317,11 @@ def within_bounds(n1: str, n2: str, sketch1, sketch2):
     return (5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2)) & (9 * differ <= F.col(n1) + F.col(n2))
 
 
-def sets_of(rows: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def sets_of(rows: DataFrame, pairs: DataFrame, classes: DataFrame, names: ClassNames) -> DataFrame:
     """The sets of all classes in the pairs (a, b), written once."""
     members = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     wanted = materialize(members.join(classes.select("c", "doc_id"), "c"), "shingle-members")
-    return materialize(class_sets(rows, wanted), "shingle-sets")
+    return materialize(class_sets(rows, wanted, names), "shingle-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -277,25 +343,18 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where("100 * common >= 80 * (n - common)").select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: Callable[[np.ndarray], tuple[int, int]] = class_key) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, component_id) of every row, and the links (a, b) between classes that were verified on the way."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    known = materialize(summaries(rows), "shingle-summaries")
-    classes = materialize(
-        known.where("n_shingles > 0").groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("c2").alias("low"), F.max("c2").alias("high"), F.min("n_shingles").alias("n")), "shingle-classes"
-    )
-    if classes.where("low != high").limit(1).count():
-        raise RuntimeError("two different sets share a 64-bit class id")
-
-    order = W.partitionBy("key").orderBy("c")
-    stars = key_rows(rows).withColumn("first", F.first("c").over(order)).withColumn("before", F.lag("c").over(order)).where("c != before")
-    stars = materialize(stars.select("key", "c", "first", "before"), "shingle-stars")
+    names = ClassNames(key)
+    known, classes = named_classes(rows, names)
+    stars = star_rows(rows, names)
 
     facts = materialize(known.where("n_shingles > 0").groupBy("c").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")), "shingle-facts")
     partners = stars.select("c", F.explode(F.array_distinct(F.array("first", "before"))).alias("a")).groupBy("a", "c").agg(F.count("*").alias("shared"))
     partners = materialize(plausible(partners.select("a", F.col("c").alias("b"), "shared"), facts), "shingle-partners")
 
-    sets = sets_of(rows, partners, classes)
+    sets = sets_of(rows, partners, classes, names)
 
     # first the most promising partner of each class
     best = partners.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a").cast("decimal(20,0)"))).alias("a")).select("a", "b")
@@ -309,7 +368,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # last, all pairs of a key that are still in different components
     found = components(links)
     left = materialize(remaining_pairs(stars, known, facts, found), "shingle-remaining")
-    links = materialize(links.unionByName(verified(left, sets_of(rows, left, classes))).distinct(), "shingle-links")
+    links = materialize(links.unionByName(verified(left, sets_of(rows, left, classes, names))).distinct(), "shingle-links")
 
     roots = components(links)
     named = roots.join(classes.select(F.col("c").alias("node"), "doc_id"), "node")
@@ -335,7 +394,7 @@ def remaining_pairs(stars: DataFrame, known: DataFrame, facts: DataFrame, found:
     # a class may leave out the common keys of a band while they are fewer than its spare words
     common = rows.join(state.where(F.col("size") > COMMON).select("key"), "key")
     held = common.groupBy("c", F.col("key").bitwiseAND(F.lit(63)).alias("band")).agg(F.count("*").alias("n_common"))
-    spare = known.where("n_shingles > 0").select("c", F.explode("slack").alias("x")).distinct().select("c", F.floor(F.col("x") / 65536).alias("band"), F.pmod("x", F.lit(65536)).alias("spare"))
+    spare = known.where("n_shingles > 0").select("c", F.explode("slack").alias("x")).distinct().select("c", F.shiftright("x", SPARE_BITS).alias("band"), F.col("x").bitwiseAND(F.lit((1 << SPARE_BITS) - 1)).alias("spare"))
     free = held.join(spare, ["c", "band"]).where("n_common <= spare").select("c", "band")
     live = rooted.join(state.where("open"), "key").withColumn("band", F.col("key").bitwiseAND(F.lit(63)))
     kept = live.where(F.col("size") <= COMMON).select("key", "c", "root").unionByName(live.where(F.col("size") > COMMON).join(free, ["c", "band"], "left_anti").select("key", "c", "root"))
@@ -346,20 +405,18 @@ def remaining_pairs(stars: DataFrame, known: DataFrame, facts: DataFrame, found:
     return plausible(pairs, facts)  # long sketches meet each pair once, not each key
 
 
-def all_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def all_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: Callable[[np.ndarray], tuple[int, int]] = class_key) -> tuple[DataFrame, DataFrame]:
     """The classes (c, doc_id, copies, n) and every link (a, b), a < b, between two of them, inside components too.
 
     All pairs of a join key that the bounds leave are verified; no word is left out. A key of over COMMON classes is dealt to as
     many shares as it holds times COMMON: one side goes to its share, the other to all. Copies are linked by being one class.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    known = materialize(summaries(rows).where("n_shingles > 0"), "shingle-summaries")
-    grouped = known.groupBy("c").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("c2").alias("low"), F.max("c2").alias("high"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
-    facts = materialize(grouped, "shingle-facts")
-    if facts.where("low != high").limit(1).count():
-        raise RuntimeError("two different sets share a 64-bit class id")
-    classes = facts.select("c", "doc_id", "copies", "n")
-    keys = materialize(key_rows(rows).distinct(), "shingle-keys")
+    names = ClassNames(key)
+    known, classes = named_classes(rows, names)
+    facts = materialize(known.where("n_shingles > 0").groupBy("c").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide")), "shingle-facts")
+    classes = classes.select("c", "doc_id", "copies", "n")
+    keys = materialize(key_rows(rows, names).distinct(), "shingle-keys")
     sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     full = keys.join(sizes, "key").withColumn("shares", F.ceil(F.col("size") / COMMON)).join(facts.select("c", "n", "sketch"), "c")
     one = full.select("key", F.pmod(F.xxhash64("c"), F.col("shares")).alias("share"), F.col("c").alias("c1"), F.col("n").alias("n1"), F.col("sketch").alias("sketch1"))
@@ -367,7 +424,7 @@ def all_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     close = (F.col("c1") < F.col("c2")) & within_bounds("n1", "n2", "sketch1", "sketch2")
     pairs = one.join(two, ["key", "share"]).where(close).select(F.col("c1").alias("a"), F.col("c2").alias("b")).distinct()
     pairs = materialize(plausible(pairs, facts.select("c", "n", "wide")), "shingle-pairs")
-    return classes, verified(pairs, sets_of(rows, pairs, classes))
+    return classes, verified(pairs, sets_of(rows, pairs, classes, names))
 
 
 def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
