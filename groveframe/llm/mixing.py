@@ -23,13 +23,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize, table
 
-POINTS, ROUNDS, SALTS, BLOCK_TOKENS, MOST_BLOCKS = 33, 7, 32, 200_000, 65_536
+POINTS, ROUNDS, SALTS, BLOCK_TOKENS, MOST_BLOCKS = 33, 7, 32, 200_000, 1 << 20
 MAX_REPEATS = 1.5
 ADDED = ["n_tokens", "weight", "passes", "copies", "place"]
 
@@ -75,6 +75,11 @@ def source_weights(shares: DataFrame, exponent: float, budget: float | None = No
     return shares.crossJoin(F.broadcast(summed)).select("source", "tokens", "docs", F.when(F.col("z") > 0, power / F.col("z")).otherwise(0.0).alias("weight"), (F.round(passes * 1e9) / 1e9).alias("passes"))
 
 
+def block_of(seed: int, blocks) -> Column:
+    """The block of a document; rows without an id are dealt by their text."""
+    return F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), blocks).cast("int")
+
+
 def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float | None = MAX_REPEATS, budget: float | None = None, seed: int = 1) -> DataFrame:
     """All documents with n_tokens, weight, passes (of their source), copies (how often the mix holds them) and place."""
     counted = docs.drop(*ADDED).withColumn("n_tokens", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S+")).cast("long"))
@@ -83,9 +88,9 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float
     weights = materialize(source_weights(shares, exponent, budget), "source-weights")
     blocks = F.least(F.lit(MOST_BLOCKS), F.ceil(F.greatest(F.col("tokens") / BLOCK_TOKENS, F.lit(1.0)))).cast("int")
     spread = weights.select(F.col("source").alias("_source"), "tokens", "weight", "passes", blocks.alias("_blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_s"))
-    salted = counted.withColumn("_s", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(SALTS)).cast("int"))
+    salted = counted.withColumn("_s", block_of(seed - 1, F.lit(SALTS)))
     joined = salted.join(spread, salted["source"].eqNullSafe(spread["_source"]) & (salted["_s"] == spread["_s"])).drop("_s", "_source")
-    dealt = joined.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("_blocks")).cast("int"))
+    dealt = joined.withColumn("_block", block_of(seed, F.col("_blocks")))
 
     sums = dealt.groupBy("source", "_block").agg(F.sum("n_tokens").alias("_sum"))
     ahead = W.partitionBy("source").orderBy(F.xxhash64(F.lit(seed + 2), "source", "_block"), "_block").rowsBetween(W.unboundedPreceding, -1)
