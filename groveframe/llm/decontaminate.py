@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, table
+from .shingle_join import mix
 
 N, THRESHOLD, SHORT, SHORT_SCORE, BLOCK_WORDS = 3, 0.5, 8, 0.9, 200_000
 MATCH, MISMATCH, GAP = 2, -1, 1
@@ -99,14 +100,14 @@ class ItemBlock:
         return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
 
     def grams(self, coded: np.ndarray, n: int) -> np.ndarray:
-        """A number for each run of n known words, -1 for others."""
+        """A number for each run of n known words, -1 for others; with vocabularies of over two million words a hash of the run."""
         count = max(0, len(coded) - n + 1)
-        out, known = np.zeros(count, np.int64), np.ones(count, bool)
+        out, known = np.full(count, n, np.uint64), np.ones(count, bool)
         for i in range(n):
             part = coded[i : i + count]
-            out = out * self.base + part
+            out = mix(out + part.astype(np.uint64)) if self.base >= 1 << 21 else out * np.uint64(self.base) + part.astype(np.uint64)
             known &= part > 0
-        return np.where(known, out + n * self.base**N, -1)
+        return np.where(known, (out >> np.uint64(1) if self.base >= 1 << 21 else out).astype(np.int64), -1)
 
     def hits(self, coded: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions and seed numbers of the seeds in a document."""
