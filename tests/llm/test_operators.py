@@ -11,11 +11,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from groveframe.llm import attention_model, decontaminate, fingerprints, language_model, languages, mixing, passages, quality, shingle_join, spelling, token_files, warc
+from groveframe.llm import attention_model, common, decontaminate, fingerprints, language_model, languages, mixing, passages, quality, shingle_join, spelling, token_files, warc
 from groveframe.llm.common import materialize, one_task_each, scratch
 from groveframe.llm.subwords import ByteLevelEncoder
 
@@ -160,6 +161,36 @@ def test_quality_learns(spark, documents, odd, none):
     assert quality.score(quality.features(none), model).count() == 0
 
 
+def test_quality_scores_are_naive_sums_of_look_ups(documents, odd):
+    """Scores of whole tables against one look-up at a time, and held-out labels only; ties on a bin's edge belong to the upper bin."""
+    labels = documents.sparkSession.read.parquet(f"{SF}/labels.parquet")
+    described = quality.features(documents)
+    model = quality.learn(described, labels)
+    x = {r.doc_id: r.x for r in described.collect()}
+    got = {r.doc_id: r.score for r in quality.score(described, model).collect()}
+
+    def place(cuts, value):
+        return sum(bool(value >= c) for c in cuts)
+
+    for k, row in x.items():
+        total = model.intercept + sum(t[place(c, v)] for c, t, v in zip(model.cuts, model.tables, row, strict=True))
+        total += sum(t[place(model.coarse[i], row[i]), place(model.coarse[j], row[j])] for i, j, t in model.pairs)
+        assert abs(got[k] - 1 / (1 + math.exp(-total))) < 1e-9
+    held = {r.doc_id: r.quality for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2}
+    assert len(held) > 10 and np.mean([(got[k] >= 0.7) == (q == 1) for k, q in held.items()]) > 0.85
+
+
+def test_quality_of_repeated_labels_and_rows(spark, odd):
+    """Labels that repeat or contradict count as rows each; equal rows get equal scores; labels that are null or no 0 or 1 go."""
+    labels = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (5, 0), (6, 0), (7, 1), (9, 5), (None, 1), (8, None)], "doc_id long, quality int")
+    model = quality.learn(quality.features(odd), labels, folds=1, held_out=9)
+    got = quality.score(quality.features(odd), model).collect()
+    by_id = defaultdict(set)
+    for r in got:
+        by_id[r.doc_id].add(round(r.score, 9))
+    assert len(got) == 11 and len(by_id[7]) == 1 and by_id[5] == by_id[6] and by_id[2] == by_id[3] and all(0 <= v <= 1 for vs in by_id.values() for v in vs)
+
+
 def test_quality_finds_interactions():
     rng = np.random.default_rng(0)
     x = rng.random((4000, 3))
@@ -194,6 +225,47 @@ def test_shingle_join_on_groups_of_near_copies(spark):
     assert got == sorted(brute_components(rows))
 
 
+def joined(docs, **more):
+    """Sorted rows; a component of rows without ids has none."""
+    return sorted(((r.doc_id is not None, r.doc_id or 0, r.n_shingles, r.component_id) for r in shingle_join.near_duplicates(docs, **more)[0].collect()), key=str)
+
+
+def copies_and_edits(n=60, null_every=7):
+    """Groups of copies and edits, a line that all share, ids that are null now and then."""
+    rng, base, line, rows = np.random.default_rng(8), [words(60, k) for k in range(6)], words(14, 99), []
+    for i in range(n):
+        text = list(base[i % 6])
+        if i % 3:
+            text[int(rng.integers(60))] = f"edit{i}"
+        rows.append((None if i % null_every == 0 else i, " ".join(text + line * (i % 2))))
+    return rows
+
+
+def test_shingle_join_when_sets_share_a_name(spark):
+    """Names of two bits: nearly all sets share one, and get names of their own."""
+    rows = copies_and_edits()
+    short = lambda found: (shingle_join.class_key(found)[0] & 3, shingle_join.class_key(found)[1])
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string"), key=short) == sorted(brute_components(rows), key=str)
+
+
+def test_shingle_join_deals_hot_keys(spark, monkeypatch):
+    rows = copies_and_edits(90)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(shingle_join, "in_sample", lambda *columns: F.lit(True))
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(common, "HOT_SHARES", 5)
+    names = shingle_join.ClassNames()
+    stars = shingle_join.star_rows(docs, names).select("key", "c", "first").collect()
+    held = defaultdict(set)
+    for r in shingle_join.key_rows(docs, names).distinct().collect():
+        held[r.key].add(r.c)
+    linked = defaultdict(set)
+    for r in stars:
+        linked[r.key] |= {r.c, r.first}
+    assert {k: v for k, v in held.items() if len(v) > 1} == dict(linked)  # every class of a key hangs on another one
+    assert joined(docs) == sorted(brute_components(rows), key=str)
+
+
 def brute_components(rows):
     sets = []
     for _, text in rows:
@@ -285,6 +357,29 @@ def test_decontamination_of_passages_that_many_documents_hold(spark, items, verb
     assert {(r.start_word, r.end_word) for r in got if r.doc_id < 100} == {(40, 70)}
 
 
+def test_decontamination_of_whole_tables(documents):
+    """Every document against every item by full alignment; what no seed leads to is no passage of half an item."""
+    items = [(r.item_id, decontaminate.words_of(r.text)) for r in documents.sparkSession.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    block = decontaminate.ItemBlock(items)
+    want = set()
+    for r in documents.collect():
+        coded = block.encode(r.text)
+        for (k, _), item in zip(items, block.coded, strict=True):
+            if np.isin(item, coded).mean() >= decontaminate.THRESHOLD and decontaminate.align(item, coded)[0] >= decontaminate.THRESHOLD:
+                want.add((r.doc_id, k))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(documents, documents.sparkSession.read.parquet(f"{SF}/benchmark.parquet")).collect()}
+    assert got == want and len(want) > 3
+
+
+def test_decontamination_of_very_long_items():
+    """Numbers of n-grams stay apart in a vocabulary of any size."""
+    block = decontaminate.ItemBlock([(1, ["a", "b", "c", "d", "e", "f", "g", "h"])])
+    block.base = 3_000_000
+    coded = np.array([2_999_999, 2_999_998, 2_999_997, 5, 1, 2_999_999])
+    got = block.grams(coded, 3)
+    assert len(set(got.tolist())) == len(got) and (got >= 0).all() and block.grams(np.array([1, 0, 2, 3]), 3).tolist() == [-1, -1]
+
+
 def test_decontamination_brute_force():
     """Long documents of few words, so that most seeds are common: the windows lose no alignment that holds a seed."""
     rng = np.random.default_rng(8)
@@ -332,6 +427,35 @@ def test_mixing(spark, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_mixing_replayed(documents, monkeypatch):
+    """The permutation of each source, replayed document by document: blocks in hash order, documents in hash order, tokens spent one by one."""
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 5_000)
+    docs = documents.select("doc_id", "text", "source")
+    got = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    n = {r.doc_id: len(re.findall(r"\S+", r.text or "")) for r in docs.collect()}
+    blocks = {s: min(mixing.MOST_BLOCKS, math.ceil(max(1, sum(n[k] for k in got if got[k].source == s) / 5_000))) for s in {r.source for r in got.values()}}
+    sized = docs.select("doc_id", "text", "source", F.create_map(*[F.lit(v) for kv in blocks.items() for v in kv])[F.col("source")].alias("b"))
+    sized = sized.withColumn("block", mixing.block_of(1, F.col("b")))
+    hashes = sized.select("doc_id", "source", "block", F.xxhash64(F.lit(3), "source", "block").alias("h1"), F.xxhash64(F.lit(4), "doc_id", "text").alias("h2")).collect()
+    assert max(blocks.values()) > 2
+    for source in blocks:
+        own = sorted((r.h1, r.block, r.h2, r.doc_id) for r in hashes if r.source == source)
+        total, spent = sum(n[r[3]] for r in own), 0
+        for *_, k in own:
+            r = got[k]
+            assert r.n_tokens == n[k] and math.isclose(r.place, spent / total, abs_tol=1e-12)
+            whole = math.floor(r.passes)
+            assert r.copies == whole + ((r.passes - whole) * total > spent and n[k] > 0)
+            spent += n[k]
+
+
+def test_mixing_of_rows_without_ids(spark):
+    """Null ids and equal rows are dealt over blocks by their text, and each is kept."""
+    rows = [(None, " ".join(words(20, i % 40)), "a") for i in range(200)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_repeats=None, target_entropy=0.0)
+    assert got.count() == 200 and got.agg(F.min("copies")).first()[0] == 1
+
+
 def test_mixing_odd_rows(odd):
     got = mixing.mix(odd).collect()
     assert len(got) == 11 and min(r.copies for r in got) == 1
@@ -409,20 +533,20 @@ def test_attention_scores_brute_force():
 
 
 def test_words_encode_as_one_text():
-    known = spelling.WordTable(RANKS)
+    known = spelling.Speller(RANKS)
     odd_words = ["the", "don't", "'t", "12,5", "straße", "\u00a0x", "x\u00a0", "\u2003", "🌲🌲", "<|endoftext|>", "a" * 5000, "日本語", "$$$", "end."]
     for some in (odd_words, ["x\u00a0", "\u00a0y"], ["plain"]):
-        numbers = known.numbers([w.encode() for w in some])
-        for w, i in zip(some, numbers, strict=True):
-            assert known.pieces[known.starts[i] : known.starts[i + 1]].tolist() == known.encoder.encode_ordinary(" " + w)
+        got = known.read(pa.array([" " + " ".join(some), None, "", "THE\x0bThe\n "]))
+        assert got.sizes.tolist() == [len(some), 0, 0, 2]
+        for w, i in zip([*some, "the", "the"], got.numbers, strict=True):
+            assert got.pieces[got.starts[i] : got.starts[i + 1]].tolist() == known.encoder.encode_ordinary(" " + w)
 
 
 def test_prior_is_a_distribution():
     """In any context the probabilities of all subwords and of the end of the word add up to one, whatever was counted."""
-    known, stop = language_model.word_table(RANKS), language_model.word_table(RANKS).stop
-    texts = [words(40, 8) + ["the", "tree's", "and"] * 5, ["the", "12,5", "straße"]]
-    numbers = [known.numbers([w.encode() for w in t]) for t in texts]
-    prefix, cell, n = known.edges(np.bincount(np.concatenate(numbers), minlength=len(known.number)))
+    known = spelling.Speller(RANKS)
+    stop = known.stop
+    prefix, cell, n = known.read(pa.array([" ".join(words(40, 8) + ["the", "tree's", "and"] * 5), "the 12,5 straße"])).edges()
     prefix, cell, n = np.append(prefix, 0), np.append(cell, stop << spelling.SHIFT | stop), np.append(n, 2)
     piece, inner = cell & language_model.LOW, prefix != 0
     cells, back = np.unique(cell[inner], return_inverse=True)
@@ -528,23 +652,78 @@ def test_passages(spark, none, odd):
     assert {(r.doc_id, r.repeats_doc_id) for r in passages.repeated_passages(odd).collect()} == {(6, 5)}
 
 
+def test_passages_that_most_documents_hold(spark, monkeypatch):
+    """Hot seeds are dealt to shares; each document still ends up linked, and with the right places."""
+    shared = words(70, 41)
+    rows = [(i, " ".join(words(20, 300 + i) + shared + words(5, 900 + i))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(passages, "in_sample", lambda *columns: F.lit(True))
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(common, "HOT_SHARES", 5)
+    got = passages.repeated_passages(docs).collect()
+    assert {r.doc_id for r in got} == set(range(1, 40)) and all((r.start_word, r.end_word, r.repeats_start, r.repeats_end) == (20, 90, 20, 90) for r in got)
+    reached, todo = {0}, [0]
+    while todo:
+        at = todo.pop()
+        more = {r.doc_id for r in got if r.repeats_doc_id == at} - reached
+        reached |= more
+        todo += more
+    assert reached == set(range(40))
+
+
+def test_every_place_of_a_passage_counts(spark):
+    """A passage three times in one document, once in another; a run of one word in two documents."""
+    shared = words(60, 42)
+    rows = [(1, " ".join(shared)), (2, " ".join(words(10, 50) + shared + words(10, 51) + shared + words(10, 52) + shared)), (3, "x " + "same " * 200 + "y"), (4, "same " * 150)]
+    got = sorted((r.doc_id, r.start_word, r.end_word, r.repeats_doc_id) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [r for r in got if r[0] == 2] == [(2, 10, 70, 1), (2, 80, 140, 1), (2, 150, 210, 1)]
+    runs = [r for r in got if r[0] == 4]
+    assert runs and runs[0][3] == 3 and runs[0][2] - runs[0][1] >= 140
+
+
+def test_passages_brute_force(documents):
+    """Every document with 60 equal words in a row in another one is found, and what is found is at least as alike as it says."""
+    texts = {r.doc_id: (r.text or "").encode().lower().split() for r in documents.collect()}
+    holders = defaultdict(set)
+    for k, w in texts.items():
+        for i in range(len(w) - 59):
+            holders[tuple(w[i : i + 60])].add(k)
+    expected = {k for group in holders.values() if len(group) > 1 for k in group}
+    got = passages.repeated_passages(documents).collect()
+    found = {r.doc_id for r in got} | {r.repeats_doc_id for r in got}
+    assert len(expected & found) >= 0.99 * len(expected) and len(expected) > 20
+    for r in got[::7]:
+        a, b = texts[r.doc_id][r.start_word : r.end_word], texts[r.repeats_doc_id][r.repeats_start : r.repeats_end]
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = row
+            row = [0]
+            for j, y in enumerate(b):
+                row.append(max(before[j + 1], row[j], before[j] + (x == y)))
+        assert r.identity >= 0.8 and row[-1] / max(len(a), len(b)) >= r.identity - 1e-9 and len(a) >= 50
+
+
 def test_chains_brute_force():
-    rng = np.random.default_rng(7)
-    for _ in range(20):
+    """The first chain is one of the best: its value is that of a search over all predecessors."""
+    rng, seen = np.random.default_rng(7), 0
+    for _ in range(60):
         pos = np.sort(rng.choice(60, 8, replace=False)).astype(np.int32)
         ref = rng.integers(0, 60, 8).astype(np.int32)
-        best = np.full(8, float(passages.K))
+        best, starts = np.full(8, float(passages.K)), np.arange(8)
         for i in range(8):
             for j in range(i):
-                if pos[j] < pos[i] and ref[j] < ref[i]:
-                    best[i] = max(best[i], passages.K + best[j] - passages.GAP_COST * (pos[i] - pos[j] + ref[i] - ref[j]))
+                value = passages.K + best[j] - passages.GAP_COST * (pos[i] - pos[j] + ref[i] - ref[j])
+                if pos[j] < pos[i] and ref[j] < ref[i] and value > best[i]:
+                    best[i], starts[i] = value, starts[j]
         found = passages.chains(pos, ref)
         for c in found:
             assert (np.diff(pos[c]) > 0).all() and (np.diff(ref[c]) > 0).all()
-        if found and len(found[0]) > 1:
-            c = found[0]
+        top = int(best.argmax())
+        if best[top] > passages.K and passages.K + pos[top] - pos[starts[top]] >= passages.LEAST_CHAIN:
+            c, seen = found[0], seen + 1
             value = passages.K * len(c) - passages.GAP_COST * (pos[c[-1]] - pos[c[0]] + ref[c[-1]] - ref[c[0]])
-            assert value <= best.max() + 1e-6
+            assert abs(value - best[top]) < 1e-6
+    assert seen > 20
 
 
 def test_pipeline(spark):
@@ -584,3 +763,43 @@ def test_pipeline_decides_by_row(spark):
     assert run(corpus_pipeline.near_duplicate_stage, [(None, a), (7, a), (9, a)]) == Counter([(7, a)])
     rows = [(None, leak), (None, a), (5, leak), (5, b), (6, c), (6, c)]
     assert run(corpus_pipeline.decontamination_stage, rows) == Counter([(None, a), (5, b), (6, c), (6, c)])
+
+
+def test_pipeline_on_odd_rows(spark, odd, none, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows, clashing names; no rows at all; items that are null or empty."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "no id at all here, friend, and more words of it"), (None, None), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, seen = odd.withColumns({c: F.lit(1) for c in ("row", "copy", "lang_pred", "component_id", "copies", "start")}), []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, str(tmp_path)), name)
+        seen.append(docs)
+        assert docs.columns == corpus_pipeline.COLUMNS or name == "token_files"
+    ids = [Counter(r.doc_id for r in d.collect()) for d in seen]
+    assert ids[0] == Counter([1, 5, 6, 7, 7, None, 9])  # no letter, no language
+    assert ids[1] == Counter([1, 5, 7, None, 9])
+    assert ids[2] == Counter([1, 5, 7, 9])
+    assert set(ids[3]) == set(ids[2]) and min(ids[3].values()) >= 1
+    tokenizer, texts = ByteLevelEncoder(BPE).tokenizer, {r.doc_id: r.text for r in odd.collect() if r.doc_id}
+    start = 0
+    for r in sorted(seen[4].collect(), key=lambda r: r.start):
+        ids_of = [*tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids, 2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids_of), zlib.crc32(np.array(ids_of, "<u4").tobytes()))
+        start += r.n_tokens
+    docs = none
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, str(tmp_path)), name)
+        assert docs.count() == 0
+
+
+def test_very_long_texts(spark):
+    """Texts of 20,000 words, copied, edited and cut, through the operators that pair documents or walk through texts."""
+    base = words(20_000, 61)
+    edited = [w if i % 400 else "edit" for i, w in enumerate(base)]
+    rows = [(1, " ".join(base)), (2, " ".join(edited)), (3, " ".join(base[:9_000])), (4, " ".join(words(200, 62)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in shingle_join.near_duplicates(docs)[0].collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert {(r.doc_id, r.repeats_doc_id) for r in passages.repeated_passages(docs).collect()} == {(2, 1), (3, 1)}
+    got = {r.doc_id: r for r in language_model.model_scores(docs, RANKS, steps=5).collect()}
+    assert [got[k].n_tokens for k in (1, 2, 3, 4)] == [20_001, 20_001, 9_001, 201] and all(r.score < 0 for r in got.values())
+    assert {r.lang_pred for r in languages.identify(docs, {"xx": " ".join(base[:500]), "yy": "zzz qqq " * 50}, keep=["doc_id"]).collect()} == {"xx"}
