@@ -1,8 +1,14 @@
 """Document pipeline: stages of the training-data operators, each written as Parquet and read again by the next.
 
 Language ID drops documents without a language, the shingle join keeps one document of each group of near duplicates,
-decontamination drops documents that hold a benchmark passage (both decide by row, not by doc_id), mixing repeats documents so that sources meet their weights, and
-the last stage writes the token files and returns what they hold.
+decontamination drops documents that hold a benchmark passage (both decide by row, not by doc_id), mixing repeats documents so
+that sources meet their weights, and the last stage writes the token files and returns what they hold.
+
+Defined cases: null texts and texts without a letter have no language and go in the first stage; rows with a null doc_id are
+rows like any other, the last of their group to be kept; rows that share a doc_id but not their text are different documents;
+equal rows are near duplicates of one another, so one stays; ties (equal doc_ids of a group) go by a hash of the row; texts of
+any length are read whole; benchmark items that are null or empty match nothing; an empty table passes through all stages as an
+empty one; columns beyond those of ``documents`` are dropped by the first stage, whatever their names.
 """
 
 from __future__ import annotations
