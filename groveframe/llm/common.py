@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or in a session without it (tests) a new temporary one."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a session on one machine (tests) gets a new temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="groveframe-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found if "://" in found else "file://" + found if found.startswith("/") else found
