@@ -55,28 +55,51 @@ def percent(share: Column) -> Column:
     return F.rint(share * 1000.0) / 10.0
 
 
+def edges_of(ring: list[tuple[float, float]]) -> list[tuple[float, float, float, float]]:
+    return [(x1, y1, x2, y2) for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True)]
+
+
+def edge_array(edges: list[tuple[float, float, float, float]], nested: bool = False) -> Column:
+    """Edges as one array value (or an array of arrays): a plan with a ring of any size stays a small one."""
+    kind = "array<struct<ax:double,ay:double,bx:double,by:double>>"
+
+    def text(part):
+        return "[" + ",".join('{"ax":%r,"ay":%r,"bx":%r,"by":%r}' % tuple(map(float, e)) for e in part) + "]"
+
+    return F.from_json(F.lit("[" + ",".join(map(text, edges)) + "]" if nested else text(edges)), f"array<{kind}>" if nested else kind)
+
+
 def inside_ring(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
-    """Whether a point lies within a polygon, its boundary excluded: crossing number over the edges."""
-    odd, border = F.lit(0), F.lit(False)
-    for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True):
-        if y1 != y2:
-            at = F.lit(x1) + (y - F.lit(y1)) * F.lit((x2 - x1) / (y2 - y1))
-            odd = odd + F.when(((F.lit(y1) > y) != (F.lit(y2) > y)) & (x < at), 1).otherwise(0)
-        cross = (x - F.lit(x1)) * F.lit(y2 - y1) - (y - F.lit(y1)) * F.lit(x2 - x1)
-        border = border | ((F.abs(cross) <= 1e-12) & x.between(min(x1, x2), max(x1, x2)) & y.between(min(y1, y2), max(y1, y2)))
-    return (odd % 2 == 1) & ~border
+    """Whether a point lies within a polygon, its boundary excluded: crossing number over the edges of its band of the plane."""
+    edges = edges_of(ring)
+    low, high = min(e[1] for e in edges), max(e[1] for e in edges)
+    n = max(1, len(edges) // 4)
+    step = (high - low) / n or 1.0
+    # a little overlap, so that an edge is in its band whatever the rounding
+    bands = [[e for e in edges if min(e[1], e[3]) <= low + (k + 1) * step + 1e-9 * step and max(e[1], e[3]) >= low + k * step - 1e-9 * step] for k in range(n)]
+    band = F.least(F.lit(n), F.greatest(F.lit(1), F.floor((y - low) / step).cast("int") + 1))
+
+    def seen(s: Column, e: Column) -> Column:
+        at = e.ax + (y - e.ay) * ((e.bx - e.ax) / (e.by - e.ay))
+        crossed = (e.ay != e.by) & ((e.ay > y) != (e.by > y)) & (x < at)
+        cross = (x - e.ax) * (e.by - e.ay) - (y - e.ay) * (e.bx - e.ax)
+        border = (F.abs(cross) <= 1e-12) & x.between(F.least(e.ax, e.bx), F.greatest(e.ax, e.bx)) & y.between(F.least(e.ay, e.by), F.greatest(e.ay, e.by))
+        return F.struct((s.odd != F.coalesce(crossed, F.lit(False))).alias("odd"), (s.border | border).alias("border"))
+
+    start = F.struct(F.lit(False).alias("odd"), F.lit(False).alias("border"))
+    return F.when(x.isNotNull() & y.isNotNull(), F.aggregate(F.element_at(edge_array(bands, nested=True), band), start, seen, lambda s: s.odd & ~s.border))
 
 
 def ring_distance(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
     """Distance of a point from the boundary of a polygon."""
-    best = None
-    for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True):
-        dx, dy = x2 - x1, y2 - y1
+
+    def nearer(best: Column, e: Column) -> Column:
+        dx, dy = e.bx - e.ax, e.by - e.ay
         size = dx * dx + dy * dy
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - x1) * dx + (y - y1) * dy) / size)) if size else F.lit(0.0)
-        d = F.pow(x - (x1 + t * dx), 2.0) + F.pow(y - (y1 + t * dy), 2.0)
-        best = d if best is None else F.least(best, d)
-    return F.sqrt(best)
+        t = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - e.ax) * dx + (y - e.ay) * dy) / size))).otherwise(0.0)
+        return F.least(best, F.pow(x - (e.ax + t * dx), 2.0) + F.pow(y - (e.ay + t * dy), 2.0))
+
+    return F.when(x.isNotNull() & y.isNotNull(), F.sqrt(F.aggregate(edge_array(edges_of(ring)), F.lit(float("inf")), nearer)))
 
 
 def with_verticality(df: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from ..functions.lineage import cut
 from .clustering import components
 from .voxels import evaluation_positions, kth_height
 
@@ -31,54 +34,97 @@ def best_prediction(pairs: DataFrame, gts: DataFrame) -> DataFrame:
     return gts.select("gt").join(best, "gt", "left").select("gt", F.coalesce("pred", F.lit(0).cast("bigint")).alias("pred"), F.coalesce("iou", F.lit(0.0)).alias("iou"))
 
 
-def assign(weights: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (row, column) of a maximum-weight assignment, by shortest augmenting paths over reduced costs."""
-    flip = weights.shape[0] > weights.shape[1]
-    cost = -(weights.T if flip else weights)
-    n, m = cost.shape
-    row_price, col_price, owner = np.zeros(n), np.zeros(m), np.full(m, -1)
-    for start in range(n):
-        distance, came, free = np.full(m, np.inf), np.full(m, -1), np.ones(m, bool)
-        row, low, last = start, 0.0, -1
+def assign(edges: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
+    """Edges (row, column, weight > 0) of an assignment of the largest total weight, by augmenting paths over the list of edges.
+
+    Each round looks for the path that adds most, with column prices that keep the reduced costs from falling below zero; memory
+    is that of the edges, never of rows times columns.
+    """
+    out_of: dict[int, list[tuple[int, float]]] = {}
+    for r, c, w in edges:
+        out_of.setdefault(r, []).append((c, w))
+    row_price = {r: max(w for _, w in cs) for r, cs in out_of.items()}
+    col_price: dict[int, float] = dict.fromkeys((c for _, c, _ in edges), 0.0)
+    row_of: dict[int, int] = {}
+    col_of: dict[int, int] = {}
+    for start in sorted(out_of):
+        # shortest paths over reduced costs row_price + col_price - w >= 0; a path may also end by leaving a row unmatched
+        far, came, done, heap = {}, {}, set(), []
+        rows_at = {start: 0.0}
+        best_row, best_end = start, row_price[start]
+        best_col = None
+
+        def relax(row: int, low: float, far=far, came=came, done=done, heap=heap) -> None:
+            for c, w in out_of[row]:
+                d = low + max(0.0, row_price[row] + col_price[c] - w)
+                if c not in done and d < far.get(c, np.inf):
+                    far[c], came[c] = d, row
+                    heappush(heap, (d, c))
+
+        relax(start, 0.0)
+        while heap:
+            d, c = heappop(heap)
+            if c in done or d > far[c]:
+                continue
+            if d >= best_end:
+                break
+            done.add(c)
+            if c not in row_of:
+                best_end, best_col = d, c
+                break
+            row = row_of[c]
+            rows_at[row] = d
+            if d + row_price[row] < best_end:
+                best_end, best_row, best_col = d + row_price[row], row, None
+            relax(row, d)
+        for row, d in rows_at.items():
+            if d < best_end:
+                row_price[row] -= best_end - d
+        for c in done:
+            if far[c] < best_end:
+                col_price[c] += best_end - far[c]
+        if best_col is None:  # best_row goes without a column
+            c = col_of.pop(best_row, None)
+            if c is None:
+                continue
+            del row_of[c]
+        else:
+            c = best_col
         while True:
-            reach = low + cost[row] - row_price[row] - col_price
-            better = free & (reach < distance)
-            distance[better], came[better] = reach[better], last
-            col = int(np.where(free, distance, np.inf).argmin())
-            low, last = distance[col], col
-            free[col] = False
-            if owner[col] < 0:
+            row = came[c]
+            previous = col_of.get(row)
+            col_of[row], row_of[c] = c, row
+            if row == start:
                 break
-            row = owner[col]
-        used = ~free
-        used[last] = False
-        row_price[start] += low
-        row_price[owner[used]] += low - distance[used]
-        col_price[used] -= low - distance[used]
-        while last >= 0:
-            previous = came[last]
-            owner[last] = start if previous < 0 else owner[previous]
-            last = previous
-    pairs = [(int(r), c) for c, r in enumerate(owner) if r >= 0]
-    return [(c, r) for r, c in pairs] if flip else pairs
+            c = previous
+    weight = {(r, c): w for r, c, w in edges}
+    return [(r, c, weight[r, c]) for r, c in sorted(col_of.items())]
 
 
 def match_trees(pairs: DataFrame, min_iou: float = 0.5) -> DataFrame:
     """(pred, gt, iou) of the assignment with the largest total IoU, above the threshold.
 
-    Trees of different overlap components do not influence each other, so each component is solved on its own.
+    A pair that is the heaviest of both its trees belongs to an assignment of the largest total if it outweighs the best other
+    pair of one tree and of the other together; such pairs are settled in windows first, and what they rule out goes with them.
+    Trees of different overlap components do not influence each other, so each component of the rest is solved on its own, as a
+    list of edges.
     """
-    edges = pairs.select(F.col("pred").alias("a"), (-F.col("gt")).alias("b"))
-    roots = components(edges)
-    placed = pairs.select("pred", "gt", "iou").join(roots.withColumnRenamed("node", "pred"), "pred")
+    rest = pairs.where("iou > 0").select("pred", "gt", "iou")
+    by = {k: W.partitionBy(k).orderBy(F.desc("iou"), o) for k, o in (("pred", "gt"), ("gt", "pred"))}
+    ranked = rest.withColumns({f"{k}_{n}": v for k, o in by.items() for n, v in (("place", F.row_number().over(o)), ("next", F.coalesce(F.lead("iou").over(o), F.lit(0.0))))})
+    sure = cut(ranked.where("pred_place = 1 and gt_place = 1 and iou >= pred_next + gt_next").select("pred", "gt", "iou"))
+    rest = cut(rest.join(sure.select("pred"), "pred", "left_anti").join(sure.select("gt"), "gt", "left_anti"))
+    settled = sure.where(F.col("iou") > min_iou)
+    if rest.isEmpty():
+        return settled
+    roots = components(rest.select(F.col("pred").alias("a"), (-F.col("gt")).alias("b")))
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
-        p, g = np.unique(part["pred"], return_inverse=True), np.unique(part["gt"], return_inverse=True)
-        weights = np.zeros((len(p[0]), len(g[0])))
-        weights[p[1], g[1]] = part["iou"]
-        return pd.DataFrame([(p[0][i], g[0][j], weights[i, j]) for i, j in assign(weights) if weights[i, j] > min_iou], columns=["pred", "gt", "iou"])
+        found = assign(list(zip(part["pred"].tolist(), part["gt"].tolist(), part["iou"].tolist(), strict=True)))
+        return pd.DataFrame([x for x in found if x[2] > min_iou], columns=["pred", "gt", "iou"])
 
-    return placed.groupBy("root").applyInPandas(solve, "pred bigint, gt bigint, iou double")
+    parts = rest.join(roots.withColumnRenamed("node", "pred"), "pred").groupBy("root").applyInPandas(solve, "pred bigint, gt bigint, iou double")
+    return settled.unionByName(parts)
 
 
 def detection_summary(matched: DataFrame, pairs: DataFrame, preds: DataFrame, gts: DataFrame, min_precision: float = 0.5) -> DataFrame:
@@ -116,9 +162,9 @@ def partition_metrics(points: DataFrame, best: DataFrame, axis: str, bins: int =
     Only points of the tree or of its prediction count, so two equi-joins reach them; no pair of tree and foreign point is made.
     """
     trees = points.where("gt > 0")
-    names = best.select("gt", F.col("pred").alias("p")).where("p > 0")
-    own = points.join(F.broadcast(best.select("gt", F.col("pred").alias("p"))), "gt").select("gt", "x", "y", "z", (F.col("pred") == F.col("p")).alias("in_pred"), F.lit(True).alias("in_gt"))
-    foreign = points.withColumnRenamed("gt", "g").join(names, F.col("pred") == F.col("p")).where("g != gt").select("gt", "x", "y", "z", F.lit(True).alias("in_pred"), F.lit(False).alias("in_gt"))
+    names = best.select("gt", F.col("pred").alias("p"))
+    own = points.join(names, "gt").select("gt", "x", "y", "z", (F.col("pred") == F.col("p")).alias("in_pred"), F.lit(True).alias("in_gt"))
+    foreign = points.withColumnRenamed("gt", "g").join(names.where("p > 0"), F.col("pred") == F.col("p")).where("g != gt").select("gt", "x", "y", "z", F.lit(True).alias("in_pred"), F.lit(False).alias("in_gt"))
     seen = own.unionByName(foreign)
     if axis == "xy":
         at = evaluation_positions(trees)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+from functools import reduce
+from operator import add, and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,23 +18,32 @@ from .voxels import cell
 
 def around(axes: str, reach: int = 1):
     """Array of cell offsets up to ``reach`` along each axis."""
-    import itertools
-
     steps = itertools.product(range(-reach, reach + 1), repeat=len(axes))
     return F.array(*(F.struct(*(F.lit(s).cast("bigint").alias(f"d{a}") for a, s in zip(axes, step, strict=True))) for step in steps))
 
 
+def placed(df: DataFrame, axes: str) -> DataFrame:
+    """The rows with a finite place: null, NaN and infinite coordinates have no cell, so such rows are near nothing."""
+    return df.where(reduce(and_, (F.abs(a) < float("inf") for a in axes)))
+
+
 def radius_join(left: DataFrame, right: DataFrame, radius: float, axes: str = "xyz") -> DataFrame:
     """(id, other, d2): all pairs within ``radius``; both sides have point_id and the axes.
 
-    The left rows are sent to the cells around them, so it is an equi-join on cells of the size of the radius; explode the
-    smaller side. No pair is formed outside neighbouring cells.
+    Cells are two radii wide. A left row is sent to the cells its ball meets, two along an axis at most, so it is an equi-join on
+    cells; put the smaller side left. No pair is formed outside neighbouring cells. Rows without a finite place have no pairs.
     """
-    near = left.select(F.col("point_id").alias("id"), *(F.col(a).alias(f"l{a}") for a in axes), *(cell(F.col(a), radius).alias(f"k{a}") for a in axes), F.explode(around(axes)).alias("d"))
-    near = near.select("id", *(f"l{a}" for a in axes), *((F.col(f"k{a}") + F.col(f"d.d{a}")).alias(f"c{a}") for a in axes))
-    there = right.select(F.col("point_id").alias("other"), *(F.col(a).alias(f"r{a}") for a in axes), *(cell(F.col(a), radius).alias(f"c{a}") for a in axes))
-    d2 = sum(((F.col(f"l{a}") - F.col(f"r{a}")) * (F.col(f"l{a}") - F.col(f"r{a}")) for a in axes), F.lit(0.0))
-    return near.join(there, [f"c{a}" for a in axes]).select("id", "other", d2.alias("d2"), *(F.col(f"r{a}") for a in axes)).where(F.col("d2") <= radius * radius)
+    size = 2 * radius
+    near = placed(left, axes).select(F.col("point_id").alias("id"), *(F.col(a).alias(f"l{a}") for a in axes))
+    for a in axes:
+        # a little wider, so that no pair at exactly the radius is lost to rounding
+        near = near.withColumn(f"c{a}", F.explode(F.sequence(cell(F.col(f"l{a}") - radius * 1.000001, size), cell(F.col(f"l{a}") + radius * 1.000001, size))))
+    there = placed(right, axes).select(F.col("point_id").alias("other"), *(F.col(a).alias(f"r{a}") for a in axes), *(cell(F.col(a), size).alias(f"c{a}") for a in axes))
+    return near.join(there, [f"c{a}" for a in axes]).select("id", "other", squared(axes).alias("d2"), *(F.col(f"r{a}") for a in axes)).where(F.col("d2") <= radius * radius)
+
+
+def squared(axes: str):
+    return reduce(add, ((F.col(f"l{a}") - F.col(f"r{a}")) * (F.col(f"l{a}") - F.col(f"r{a}")) for a in axes))
 
 
 def neighbour_verticality(points: DataFrame, radius: float) -> DataFrame:
@@ -47,26 +61,90 @@ def radius_outliers(points: DataFrame, radius: float, least: int) -> DataFrame:
 
 
 def knn(queries: DataFrame, sources: DataFrame, k: int, size: float, axes: str = "xyz") -> DataFrame:
-    """(id, other, d2, rank): the k nearest sources of each query, ties by source id.
+    """(id, other, d2, rank): the k nearest sources of each query, ties by source id; all of them if there are fewer than k.
 
-    Rings of cells widen until the k-th distance lies within the ring, which makes the answer final; the ring doubles each round
-    for the queries that are left, with cells that double as well, until every query has k sources or has seen them all.
+    Most queries have k sources within ``size``, which makes their answer final. The others go down a pyramid of cells, from one
+    that holds everything to cells of this size: at each level a query keeps only the cells that may hold one of its k nearest.
+    So every query ends after one step a level, and none meets more than a few cells of sources at a time.
+
+    Where cells of this size hold many sources, each query starts from the smallest cell around it that holds k of them.
+    Queries and sources without a finite place (a null coordinate) have no neighbours and are nobody's.
     """
-    left, done, reach = queries.select("point_id", *axes), None, size
+    queries, sources = placed(queries, axes).select("point_id", *axes), placed(sources, axes).select("point_id", *axes)
     total = min(k, sources.limit(k).count())
     if total == 0:
         return queries.sparkSession.createDataFrame([], "id bigint, other bigint, d2 double, rank int")
     order = W.partitionBy("id").orderBy("d2", "other")
-    while True:
-        found = radius_join(left, sources, reach, axes).select("id", "other", "d2").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        # all pairs within the radius were seen: a query with enough of them is final
-        final = found.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= total).select("id")
-        part = cut(found.join(final, "id", "left_semi"))
-        done = part if done is None else done.unionByName(part)
-        left = cut(left.join(final.withColumnRenamed("id", "point_id"), "point_id", "left_anti"))
-        if left.isEmpty():
-            return done
-        reach *= 2
+    parts = [radius_join(part, sources, reach, axes) for part, reach in by_density(queries, sources, total, size, axes)]
+    found = cut(reduce(DataFrame.unionByName, parts).select("id", "other", "d2").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+    # all pairs within the radius were seen: a query with enough of them is final
+    final = found.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= total).select("id")
+    left = cut(queries.join(final.withColumnRenamed("id", "point_id"), "point_id", "left_anti"))
+    if left.isEmpty():
+        return found
+    return found.join(final, "id", "left_semi").unionByName(by_pyramid(left, sources, total, k, size, axes))
+
+
+#: Sources of a cell from which queries look into smaller cells, and how often cells are halved.
+DENSE, HALVINGS = 256, 12
+
+
+def by_density(queries: DataFrame, sources: DataFrame, total: int, size: float, axes: str) -> list[tuple[DataFrame, float]]:
+    """The queries in parts, each with the radius to look within: ``size``, or less where a smaller cell holds enough sources."""
+
+    def at(df: DataFrame, step: float) -> list:
+        return [cell(F.col(a), step).alias(f"c{a}") for a in axes]
+
+    keys = [f"c{a}" for a in axes]
+    most = sources.groupBy(*at(sources, size)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if most <= DENSE:
+        return [(queries, size)]
+    counts = cut(sources.groupBy(*at(sources, size / 2**HALVINGS)).agg(F.count("*").alias("n")))
+    halved = counts.withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(HALVINGS)))).groupBy("h", *(F.expr(f"shiftright({c}, {HALVINGS} - h)").alias(c) for c in keys)).agg(F.sum("n").alias("n"))
+    own = queries.select("point_id", *at(queries, size / 2**HALVINGS), F.explode(F.sequence(F.lit(0), F.lit(HALVINGS))).alias("h"))
+    own = own.select("point_id", "h", *(F.expr(f"shiftright({c}, {HALVINGS} - h)").alias(c) for c in keys))
+    deepest = own.join(halved.where(F.col("n") >= total), ["h", *keys]).groupBy("point_id").agg(F.max("h").alias("h"))
+    levelled = cut(queries.join(deepest, "point_id", "left").withColumn("h", F.coalesce("h", F.lit(0))))
+    steps = sorted(r["h"] for r in levelled.select("h").distinct().collect())
+    return [(levelled.where(F.col("h") == h).drop("h"), size if h == 0 else size / 2**h * len(axes) ** 0.5 * 1.000001) for h in steps]
+
+
+def by_pyramid(queries: DataFrame, sources: DataFrame, total: int, k: int, size: float, axes: str) -> DataFrame:
+    """knn for any queries, however far they lie from the sources; ``total`` is the number of neighbours that each has."""
+    ends = sources.agg(*(f(a).alias(f"{n}{a}") for a in axes for n, f in (("low", F.min), ("high", F.max)))).first()
+    levels = max(1, math.ceil(math.log2(max(max(ends[f"high{a}"] - ends[f"low{a}"] for a in axes) / size, 1.0))))
+    keys = [f"c{a}" for a in axes]
+    numbered = sources.select(F.col("point_id").alias("other"), *(F.col(a).alias(f"r{a}") for a in axes), *(F.floor((F.col(a) - ends[f"low{a}"]) / size).cast("bigint").alias(f"c{a}") for a in axes))
+    counts = cut(numbered.groupBy(*keys).agg(F.count("*").alias("n")))
+
+    def level(j: int) -> DataFrame:
+        return counts.groupBy(*(F.shiftright(c, j).alias(c) for c in keys)).agg(F.sum("n").alias("n"))
+
+    def kept(cells: DataFrame, j: int) -> DataFrame:
+        """The cells of a query that are no farther than the farthest corner of those that hold enough sources."""
+        step, near, far = size * 2**j, [], []
+        for a in axes:
+            low = F.col(f"c{a}") * step + ends[f"low{a}"]
+            gap = F.greatest(low - F.col(f"l{a}"), F.col(f"l{a}") - low - step, F.lit(0.0))
+            reach = F.greatest(F.abs(F.col(f"l{a}") - low), F.abs(F.col(f"l{a}") - low - step))
+            near.append(gap * gap)
+            far.append(reach * reach)
+        sums = W.partitionBy("id").orderBy("far").rangeBetween(W.unboundedPreceding, 0)
+        seen = cells.withColumn("near", reduce(add, near)).withColumn("far", reduce(add, far)).withColumn("sum", F.sum("n").over(sums))
+        limit = F.min(F.when(F.col("sum") >= total, F.col("far"))).over(W.partitionBy("id"))
+        # the sides of cells are rounded: a little more than the bound
+        return seen.withColumn("limit", limit).where(F.col("near") <= F.col("limit") * 1.000001 + 1e-12).select("id", *(f"l{a}" for a in axes), *keys)
+
+    top = F.array(*(F.struct(*(F.lit(v).cast("bigint").alias(c) for c, v in zip(keys, cell, strict=True))) for cell in itertools.product((0, 1), repeat=len(axes))))
+    at = queries.select(F.col("point_id").alias("id"), *(F.col(a).alias(f"l{a}") for a in axes), F.explode(top).alias("t")).select("id", *(f"l{a}" for a in axes), *(f"t.{c}" for c in keys))
+    at = kept(at.join(level(levels), keys), levels)
+    for j in range(levels - 1, -1, -1):
+        children = level(j).select(*(F.col(c).alias(f"own_{c}") for c in keys), "n", *(F.shiftright(c, 1).alias(c) for c in keys))
+        at = at.join(children, keys).select("id", *(f"l{a}" for a in axes), *(F.col(f"own_{c}").alias(c) for c in keys), "n")
+        at = kept(at, j)
+    order = W.partitionBy("id").orderBy("d2", "other")
+    pairs = at.join(numbered, keys).select("id", "other", squared(axes).alias("d2"))
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def majority(found: DataFrame, labels: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 ORIGIN = 200.0
 
 
@@ -43,8 +45,31 @@ def fill_missing_with_mean(df: DataFrame, column: str) -> DataFrame:
 
 
 def dense_labels(df: DataFrame, label: str, start: int = 1) -> DataFrame:
-    """(old, new): labels renumbered without gaps in ascending order. The window runs over the distinct labels only."""
-    return df.select(F.col(label).alias("old")).distinct().select("old", (F.dense_rank().over(W.orderBy("old")) - 1 + start).cast("bigint").alias("new"))
+    """(old, new): labels renumbered without gaps in ascending order; a null label gets none.
+
+    The distinct labels are dealt into ranges and numbered within each, after the sizes of the ranges below it: no task takes all.
+    """
+    ranged = df.select(F.col(label).alias("old")).where("old is not null").distinct().repartitionByRange("old").withColumn("range", F.spark_partition_id())
+    ranged = cut(ranged)
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))
+    below = sizes.select("range", (F.coalesce(F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + start).alias("below"))  # one row a range
+    place = F.row_number().over(W.partitionBy("range").orderBy("old")) - 1
+    return ranged.withColumn("place", place).join(below, "range").select("old", (F.col("below") + F.col("place")).cast("bigint").alias("new"))
+
+
+def numbered(df: DataFrame, group: str, order: str) -> DataFrame:
+    """Adds ``number``: the place of each row in its group by ``order``, from 1.
+
+    Rows are dealt into ranges of (group, order) and numbered within each, after the rows of the group in lower ranges: a group
+    may hold any part of the rows.
+    """
+    ranged = cut(df.repartitionByRange(group, order).withColumn("_range", F.spark_partition_id()))
+    below = W.partitionBy(group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # one row a range
+    sizes = ranged.groupBy(group, "_range").agg(F.count("*").alias("_n")).withColumn("_below", F.coalesce(F.sum("_n").over(below), F.lit(0))).drop("_n")
+    named = sizes.withColumnsRenamed({group: "_g", "_range": "_r"})
+    joined = ranged.join(named, ranged[group].eqNullSafe(named["_g"]) & (ranged["_range"] == named["_r"]))
+    place = F.row_number().over(W.partitionBy(group, "_range").orderBy(order))
+    return joined.withColumn("number", (place + F.col("_below")).cast("bigint")).drop("_g", "_r", "_range", "_below")
 
 
 def relabel(df: DataFrame, label: str, start: int = 1) -> DataFrame:

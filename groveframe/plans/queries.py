@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..config import Config, Grouping, Sampling
 from ..functions import columns as c
 from ..operators import clustering, evaluation, hulls, neighbours, predictions, tiles, voxels
+from . import segmentation
 from .forest import oracle, points, r
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,10 +163,9 @@ def jn1(p):
     return tiles.assign_tiles(p, grid_of(p)).groupBy("col", "row").agg(F.count("*").alias("n"), F.sum(F.col("point_id") % 1000).alias("ids"))
 
 
-@query("FP1", "SELECT col, row, count(*) AS n FROM points JOIN t ON x >= xlo - 135e-1 AND x <= xhi + 135e-1 AND y >= ylo - 135e-1 AND y <= yhi + 135e-1 WHERE point_id % 50 = 0 GROUP BY col, row", g=GRID, t=TILES)
+@query("FP1", "SELECT col, row, count(*) AS n FROM points JOIN t ON x >= xlo - 135e-1 AND x <= xhi + 135e-1 AND y >= ylo - 135e-1 AND y <= yhi + 135e-1 GROUP BY col, row", g=GRID, t=TILES)
 def fp1(p):
-    # a share of the points as queries: an outer square repeats each point in many tiles
-    return tiles.assign_tiles(p.where("point_id % 50 = 0").select("point_id", "x", "y"), grid_of(p), 13.5).groupBy("col", "row").agg(F.count("*").alias("n"))
+    return tiles.assign_tiles(p.select("point_id", "x", "y"), grid_of(p), 13.5).groupBy("col", "row").agg(F.count("*").alias("n"))
 
 
 @query("FP2", "SELECT count(*) AS tiles FROM (SELECT DISTINCT col, row FROM points JOIN t ON x >= xlo AND x < xhi AND y > ylo AND y <= yhi)", g=GRID, t=TILES)
@@ -293,23 +293,31 @@ def ag2(p):
     return rounded(neighbours.neighbour_verticality(p, 0.6), "verticality")
 
 
+#: The stated query set: every point whose id is divisible by 20, against all labelled points. Most have five of them within 1.2 m;
+#: the SQL compares the others with all.
+NEAREST = """SELECT q.point_id AS id, s.point_id AS other, (q.x - s.x) * (q.x - s.x) + (q.y - s.y) * (q.y - s.y) + (q.z - s.z) * (q.z - s.z) AS d2 FROM
+  (SELECT *, floor(x / 12e-1) + dx AS i, floor(y / 12e-1) + dy AS j, floor(z / 12e-1) + dz AS k FROM points, (VALUES (-1), (0), (1)) p(dx), (VALUES (-1), (0), (1)) t(dy), (VALUES (-1), (0), (1)) u(dz) WHERE point_id % 20 = 0) q
+  JOIN (SELECT *, floor(x / 12e-1) AS i, floor(y / 12e-1) AS j, floor(z / 12e-1) AS k FROM points WHERE gt <> -1) s USING (i, j, k)
+  WHERE (q.x - s.x) * (q.x - s.x) + (q.y - s.y) * (q.y - s.y) + (q.z - s.z) * (q.z - s.z) <= 144e-2"""
+SETTLED = "SELECT id FROM nearest GROUP BY id HAVING count(*) >= 5"
 KNN = """SELECT id, other, d2, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, other) AS rank FROM
-  (SELECT q.point_id AS id, s.point_id AS other, (q.x - s.x) * (q.x - s.x) + (q.y - s.y) * (q.y - s.y) + (q.z - s.z) * (q.z - s.z) AS d2 FROM
-    (SELECT * FROM points WHERE point_id % 100 = 7) q, (SELECT * FROM points WHERE gt <> -1) s WHERE q.tree_key BETWEEN s.tree_key - 33 AND s.tree_key + 33)) WHERE rank <= 5"""
+  (SELECT * FROM nearest WHERE id IN (SELECT id FROM settled) UNION ALL
+   SELECT q.point_id, s.point_id, (q.x - s.x) * (q.x - s.x) + (q.y - s.y) * (q.y - s.y) + (q.z - s.z) * (q.z - s.z) FROM
+     (SELECT * FROM points WHERE point_id % 20 = 0 AND point_id NOT IN (SELECT id FROM settled)) q, (SELECT * FROM points WHERE gt <> -1) s)) WHERE rank <= 5"""
+NEAREST_PARTS = {"nearest": NEAREST, "settled": SETTLED, "knn": KNN}
 
 
-@query("JN5", "SELECT id, other, rank FROM knn", knn=KNN.replace(" WHERE q.tree_key BETWEEN s.tree_key - 33 AND s.tree_key + 33", ""))
+@query("JN5", "SELECT id, other, rank FROM knn", **NEAREST_PARTS)
 def jn5(p):
-    # the stated query set: every point whose id ends in 07
-    return neighbours.knn(p.where("point_id % 100 = 7"), p.where("gt != -1"), 5, 0.6).select("id", "other", F.col("rank").cast("bigint").alias("rank"))
+    return neighbours.knn(p.where("point_id % 20 = 0"), p.where("gt != -1"), 5, 0.6).select("id", "other", F.col("rank").cast("bigint").alias("rank"))
 
 
 VOTE = "SELECT id, label FROM (SELECT id, gt AS label, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, gt) AS k FROM knn JOIN points ON point_id = other GROUP BY id, gt) WHERE k = 1"
 
 
-@query("AG9", "SELECT id, label FROM vote", knn=KNN.replace(" WHERE q.tree_key BETWEEN s.tree_key - 33 AND s.tree_key + 33", ""), vote=VOTE)
+@query("AG9", "SELECT id, label FROM vote", **NEAREST_PARTS, vote=VOTE)
 def ag9(p):
-    return predictions.propagate_nearest(p.where("gt != -1"), p.where("point_id % 100 = 7"), 5, 0.6, "gt")
+    return predictions.propagate_nearest(p.where("gt != -1"), p.where("point_id % 20 = 0"), 5, 0.6, "gt")
 
 
 @query("JN6")
@@ -559,13 +567,21 @@ def ag14(p):
     return rounded(evaluation.partition_metrics(p, best, "xy"), "prec", "rec", "iou", digits=6)
 
 
-@query("AG15", BINS, pairs=PAIRS, gts=GTS, best=BEST, seen=SEEN, far="SELECT gt, z AS far FROM (SELECT gt, z, row_number() OVER (PARTITION BY gt ORDER BY z DESC) AS k FROM points WHERE gt > 0) WHERE k = 5", low="SELECT gt, min(z) AS zmin FROM points WHERE gt > 0 GROUP BY gt", s="SELECT gt, in_gt, in_pred, (z - zmin) / (far - zmin) AS share FROM seen JOIN low USING (gt) JOIN far USING (gt)", b=BINNED)
+FAR_Z = "SELECT gt, z AS far FROM (SELECT gt, z, row_number() OVER (PARTITION BY gt ORDER BY z DESC) AS k FROM points WHERE gt > 0) WHERE k = 5"
+LOW_Z = "SELECT gt, min(z) AS zmin FROM points WHERE gt > 0 GROUP BY gt"
+SHARE_Z = "SELECT gt, in_gt, in_pred, (z - zmin) / (far - zmin) AS share FROM seen JOIN low USING (gt) JOIN far USING (gt)"
+
+
+@query("AG15", BINS, pairs=PAIRS, gts=GTS, best=BEST, seen=SEEN, far=FAR_Z, low=LOW_Z, s=SHARE_Z, b=BINNED)
 def ag15(p):
     best = evaluation.best_prediction(evaluation.contingency(p), gts_of(p))
     return rounded(evaluation.partition_metrics(p, best, "z"), "prec", "rec", "iou", digits=6)
 
 
-@query("AG16b")
+BINNED_METRICS = ", ".join(f"max({m}) FILTER (bin = {b}) AS \"{m}_intvl{b / 10:g}_{(b + 1) / 10:g}\"" for b in range(10) for m in ("prec", "rec", "iou"))
+
+
+@query("AG16b", f"SELECT gt, {BINNED_METRICS} FROM bins GROUP BY gt", pairs=PAIRS, gts=GTS, best=BEST, seen=SEEN, far=FAR_Z, low=LOW_Z, s=SHARE_Z, b=BINNED, bins=BINS)
 def ag16b(p):
     best = evaluation.best_prediction(evaluation.contingency(p), gts_of(p))
     return evaluation.wide(rounded(evaluation.partition_metrics(p, best, "z"), "prec", "rec", "iou", digits=6))
@@ -634,13 +650,14 @@ def cl3(p):
 
 @query("CL1")
 def cl1(p):
-    o = with_offsets(p).withColumn("p_tree", c.tree_probability(F.col("sem0"), F.col("sem1"))).withColumn("verticality", F.lit(1.0))
-    return clustering.instances(o, 0.15, 20, tau_off=1e9)
+    o = with_offsets(p).withColumn("p_tree", c.tree_probability(F.col("sem0"), F.col("sem1")))
+    o = o.join(voxels.fill_missing_with_mean(neighbours.neighbour_verticality(p, 0.6).select("point_id", "verticality"), "verticality"), "point_id")
+    return clustering.instances(o, 0.15, 20)
 
 
 @query("SO3", "SELECT count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY gt ORDER BY point_id) AS k FROM points) WHERE k % 10 = 1")
 def so3(p):
-    return p.withColumn("k", F.row_number().over(W.partitionBy("gt").orderBy("point_id"))).where("k % 10 = 1").agg(F.count("*").alias("n"))
+    return voxels.numbered(p.select("gt", "point_id"), "gt", "point_id").where("number % 10 = 1").agg(F.count("*").alias("n"))
 
 
 @query("ST3", "SELECT count(*) AS n FROM points WHERE pred IN (SELECT gt FROM points WHERE gt > 0)")
@@ -654,6 +671,46 @@ def pj13(p):
     return rounded(width.select("plot", c.ratio(F.col("dx"), F.floor(F.col("dx") / 3.0)).alias("res")), "res")
 
 
+# --- the plans ------------------------------------------------------------------------------------------------------------------
+
+PLAN = Config(Sampling(voxel_size=0.5, search_radius=0.6), Grouping(tau_vert=0.1077, tau_off=12.3, use_hdbscan=False))
+
+
+def tile_predictions(p: DataFrame) -> DataFrame:
+    """A table of predictions: two rows for each voxel that lead to the stem, a little apart, without a part of the voxels."""
+    v = voxels.voxelize(p, PLAN.sampling.voxel_size, "gt").select("vx", "vy", "vz", "point_id", *(c.half_even(F.col(a)).alias(a) for a in "xyz"), F.col("label").alias("gt"))
+    v = v.join(p.select("point_id", "x0", "y0"), "point_id").where("point_id % 11 != 3")
+    return with_offsets(v).withColumn("verticality", F.col("z") / 26.0).withColumn("tile", F.explode(F.array(F.lit(-1), F.lit(1)))).withColumn("dx", F.col("dx") + F.col("tile") / 1000.0)
+
+
+VOXELS = "SELECT CAST(floor((x + 200e0) / 5e-1) AS BIGINT) AS vx, CAST(floor((y + 200e0) / 5e-1) AS BIGINT) AS vy, CAST(floor((z + 200e0) / 5e-1) AS BIGINT) AS vz, min(point_id) AS point_id, arg_min(gt, point_id) AS gt, arg_min(tree_key, point_id) AS tree_key, round_even(avg(z) * 1e2, 0) / 1e2 AS z FROM points GROUP BY 1, 2, 3"
+#: The offsets lead to the stems, five metres apart, so the clusters are the trees.
+STATES = "SELECT *, tree, CASE WHEN NOT tree THEN 0 WHEN z / 26e0 > 1077e-4 AND abs(-z + ((point_id % 21) - 10) / 1000e0) < 123e-1 THEN 1 ELSE -1 END AS state FROM (SELECT *, (gt <> 0) <> (point_id % 97 = 0) AS tree FROM vox WHERE point_id % 11 <> 3)"
+CLUSTERS = "SELECT tree_key, dense_rank() OVER (ORDER BY first) AS cluster FROM (SELECT tree_key, min(point_id) AS first FROM states WHERE state = 1 GROUP BY tree_key HAVING count(*) >= 50)"
+PARTS = {"vox": VOXELS, "states": STATES, "clusters": CLUSTERS}
+
+
+@query("SK5", "SELECT point_id, CASE state WHEN 1 THEN coalesce(cluster, -1) ELSE state END AS initial, CASE WHEN tree THEN cluster ELSE 0 END AS instance FROM states LEFT JOIN clusters USING (tree_key)", **PARTS)
+def sk5(p):
+    return segmentation.pointwise(tile_predictions(p), PLAN).select("point_id", F.col("initial").cast("bigint").alias("initial"), "instance")
+
+
+@query("PLAN_SEGMENT", "SELECT p.point_id, CASE WHEN tree THEN cluster ELSE 0 END AS instance FROM points p JOIN states s ON CAST(floor((p.x + 200e0) / 5e-1) AS BIGINT) = vx AND CAST(floor((p.y + 200e0) / 5e-1) AS BIGINT) = vy AND CAST(floor((p.z + 200e0) / 5e-1) AS BIGINT) = vz LEFT JOIN clusters c ON s.tree_key = c.tree_key", **PARTS)
+def plan_segment(p):
+    """The points whose voxel has a prediction; the others, which take the majority of their neighbours, are held against brute force in a test."""
+    covered = tile_predictions(p).select("vx", "vy", "vz").distinct()
+    members = voxels.voxel_members(p, PLAN.sampling.voxel_size).join(covered, ["vx", "vy", "vz"]).select("point_id")
+    return segmentation.segment(p, tile_predictions(p), PLAN)[0].join(members, "point_id", "left_semi").select("point_id", "instance")
+
+
+TILE_VOXELS = "SELECT CAST(floor((x + 200e0) / 5e-1) AS BIGINT) AS vx, CAST(floor((y + 200e0) / 5e-1) AS BIGINT) AS vy, CAST(floor((z + 200e0) / 5e-1) AS BIGINT) AS vz, round_even(avg(x) * 1e2, 0) / 1e2 AS x, round_even(avg(y) * 1e2, 0) / 1e2 AS y FROM points GROUP BY 1, 2, 3"
+
+
+@query("TL3", "SELECT t.col, t.row, count(*) AS n FROM v JOIN t ON x >= xlo - 135e-1 AND x <= xhi + 135e-1 AND y >= ylo - 135e-1 AND y <= yhi + 135e-1 SEMI JOIN (SELECT DISTINCT col, row FROM v JOIN t ON x >= xlo AND x < xhi AND y > ylo AND y <= yhi) l ON t.col = l.col AND t.row = l.row GROUP BY t.col, t.row", v=TILE_VOXELS, g=GRID.replace("FROM points", "FROM v"), t=TILES)
+def tl3(p):
+    return segmentation.generate_tiles(p, PLAN, "gt").groupBy("col", "row").agg(F.count("*").alias("n"))
+
+
 # --- set operations, masks, windows that other operators build on -------------------------------------------------------------
 
 
@@ -697,6 +754,6 @@ def wn3(p):
     return pairs.groupBy("pred").agg(F.max_by("gt", F.struct("prec", -F.col("gt"))).alias("gt"))
 
 
-@query("WN6", "SELECT id, rank, round_even((d2 + 3.1e-9) * 1e6, 0) / 1e6 AS d2 FROM knn", knn=KNN.replace(" WHERE q.tree_key BETWEEN s.tree_key - 33 AND s.tree_key + 33", ""))
+@query("WN6", "SELECT id, rank, round_even((d2 + 3.1e-9) * 1e6, 0) / 1e6 AS d2 FROM knn", **NEAREST_PARTS)
 def wn6(p):
-    return rounded(neighbours.knn(p.where("point_id % 100 = 7"), p.where("gt != -1"), 5, 0.6).select("id", F.col("rank").cast("bigint").alias("rank"), "d2"), "d2", digits=6)
+    return rounded(neighbours.knn(p.where("point_id % 20 = 0"), p.where("gt != -1"), 5, 0.6).select("id", F.col("rank").cast("bigint").alias("rank"), "d2"), "d2", digits=6)
