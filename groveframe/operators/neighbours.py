@@ -28,7 +28,7 @@ def placed(df: DataFrame, axes: str) -> DataFrame:
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius: float, axes: str = "xyz") -> DataFrame:
-    """(id, other, d2): all pairs within ``radius``; both sides have point_id and the axes.
+    """(id, other, d2, and the places of both): all pairs within ``radius``; both sides have point_id and the axes.
 
     Cells are two radii wide. A left row is sent to the cells its ball meets, two along an axis at most, so it is an equi-join on
     cells; put the smaller side left. No pair is formed outside neighbouring cells. Rows without a finite place have no pairs.
@@ -39,7 +39,7 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, axes: str = "x
         # a little wider, so that no pair at exactly the radius is lost to rounding
         near = near.withColumn(f"c{a}", F.explode(F.sequence(cell(F.col(f"l{a}") - radius * 1.000001, size), cell(F.col(f"l{a}") + radius * 1.000001, size))))
     there = placed(right, axes).select(F.col("point_id").alias("other"), *(F.col(a).alias(f"r{a}") for a in axes), *(cell(F.col(a), size).alias(f"c{a}") for a in axes))
-    return near.join(there, [f"c{a}" for a in axes]).select("id", "other", squared(axes).alias("d2"), *(F.col(f"r{a}") for a in axes)).where(F.col("d2") <= radius * radius)
+    return near.join(there, [f"c{a}" for a in axes]).select("id", "other", squared(axes).alias("d2"), *(F.col(f"{k}{a}") for k in "lr" for a in axes)).where(F.col("d2") <= radius * radius)
 
 
 def squared(axes: str):
@@ -75,7 +75,7 @@ def knn(queries: DataFrame, sources: DataFrame, k: int, size: float, axes: str =
     if total == 0:
         return queries.sparkSession.createDataFrame([], "id bigint, other bigint, d2 double, rank int")
     order = W.partitionBy("id").orderBy("d2", "other")
-    parts = [radius_join(part, sources, reach, axes) for part, reach in by_density(queries, sources, total, size, axes)]
+    parts = [radius_join(part, sources, reach, axes).select("id", "other", "d2") for part, reach in by_density(queries, sources, total, size, axes)]
     found = cut(reduce(DataFrame.unionByName, parts).select("id", "other", "d2").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
     # all pairs within the radius were seen: a query with enough of them is final
     final = found.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") >= total).select("id")

@@ -619,15 +619,23 @@ def fp15(p):
     return hulls.in_buffer(p, RING, 1.0).where("in_buffer and pred != 0").select("pred").distinct()
 
 
-@query("CL4")
+CELLS = "SELECT min(point_id) AS id, arg_min(x, point_id) AS x, arg_min(y, point_id) AS y FROM points GROUP BY floor(x / 25e-2), floor(y / 25e-2)"
+NEAR_CELLS = """SELECT a.id, b.id AS other, a.x AS ax, a.y AS ay, b.x, b.y, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM
+  (SELECT *, floor(x / 34e-1) + dx AS i, floor(y / 34e-1) + dy AS j FROM cells, (VALUES (-1), (0), (1)) p(dx), (VALUES (-1), (0), (1)) q(dy)) a
+  JOIN (SELECT *, floor(x / 34e-1) AS i, floor(y / 34e-1) AS j FROM cells) b USING (i, j) WHERE a.id <> b.id"""
+ARCS = """SELECT id, other, s + t AS s, e + t AS e FROM (SELECT id, other, s, s + 2 * h AS e FROM (SELECT id, other, h, p - 2 * pi() * floor(p / (2 * pi())) AS s FROM (SELECT id, other, h, atan2(y - ay, x - ax) - h AS p FROM
+  (SELECT *, acos(sqrt(d2) * 6e-1 / 2) AS h FROM nc WHERE d2 > 0 AND d2 < 4 / 36e-2)))), (VALUES (0e0), (2 * pi())) u(t)"""
+GAPS = "SELECT id, other, last FROM (SELECT *, arg_max(other, e) OVER w AS last, max(e) OVER w AS top FROM arcs WINDOW w AS (PARTITION BY id ORDER BY s, e, other ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE s >= 2 * pi() AND s > top + 1e-12"
+
+
+@query("CL4", "SELECT a, b FROM (SELECT id AS a, other AS b FROM gaps UNION ALL SELECT id, last FROM gaps) WHERE a < b GROUP BY a, b HAVING count(*) = 1", cells=CELLS, nc=NEAR_CELLS, arcs=ARCS, gaps=GAPS)
 def cl4(p):
-    ring = hulls.plot_hull(p)
-    return p.sparkSession.createDataFrame([(i, x, y) for i, (x, y) in enumerate(ring)], "i bigint, x double, y double")
+    return hulls.alpha_edges(voxels.first_per_cell(p, 0.25), 0.6)
 
 
 @query("PJ9")
 def pj9(p):
-    return hulls.tree_categories(p, hulls.plot_hull(p), 0.3)
+    return hulls.tree_categories(p, hulls.plot_hull(p, 0.6), 0.3)
 
 
 # --- clusters ---------------------------------------------------------------------------------------------------------------

@@ -148,7 +148,7 @@ def test_ring_and_hull(spark):
     pts = [(x / 4, y / 4) for x in range(9) for y in range(9)]
     assert set(hulls.convex_ring(pts)) == {(0, 0), (2, 0), (2, 2), (0, 2)}
     bay = [(x, y) for x, y in pts if not (0.6 < x < 1.4 and y > 0.6)]
-    ring = hulls.alpha_ring(bay, 2.0)
+    ring = hulls.plot_hull(cloud(spark, [(x, y, 0) for x, y in bay]), 2.1, 0.05)
     area = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True))) / 2
     assert 2.3 < area < 3.5
 
@@ -359,3 +359,22 @@ def test_folders_of_clouds(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "trees"))
     assert {(r.category, r.label) for r in got.select("category", "label").distinct().collect()} == {("non_trees", 0), ("completely_inside", 1), ("trunk_base_outside", 2), ("trunk_base_outside", 3)}
     assert abs(got.agg(F.avg("x")).first()[0]) < 1e-9
+
+
+def test_alpha_shape_brute_force(spark):
+    """Edges of the triangles of small circumcircles that hold no other point, over all triples."""
+    rng = np.random.default_rng(31)
+    pts = np.vstack([rng.uniform(0, 4, (45, 2)), rng.uniform(6, 7, (6, 2)), [[20, 20]]])
+    pts = pts[~((np.abs(pts - 2) < 0.8).all(1))]
+    want = {}
+    for t in itertools.combinations(range(len(pts)), 3):
+        (ax, ay), (bx, by), (cx, cy) = pts[t[0]], pts[t[1]] - pts[t[0]], pts[t[2]] - pts[t[0]]
+        d = 2 * (bx * cy - by * cx)
+        ux, uy = (cy * (bx * bx + by * by) - by * (cx * cx + cy * cy)) / d, (bx * (cx * cx + cy * cy) - cx * (bx * bx + by * by)) / d
+        far = ((pts - [ax + ux, ay + uy]) ** 2).sum(1)
+        if ux * ux + uy * uy < 0.8**2 and (np.delete(far, t) > ux * ux + uy * uy).all():
+            for e in itertools.combinations(t, 2):
+                want[e] = want.get(e, 0) + 1
+    got = {(r.a, r.b) for r in hulls.alpha_edges(cloud(spark, [(x, y, 0) for x, y in pts]), 1 / 0.8).collect()}
+    assert got == {e for e, n in want.items() if n == 1} and len(got) > 20
+    assert hulls.alpha_edges(cloud(spark, [(0, 0, 0)]), 1.0).count() == 0
