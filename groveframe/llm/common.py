@@ -87,8 +87,9 @@ def one_task_each(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartitionByRange(max(1, rows.count()), key)
 
 
-#: Share of a table that is looked at to tell which keys are hot, rows of it that make a key hot, and shares of a hot key.
-HOT_SAMPLE, HOT_ROWS, HOT_SHARES = 1024, 20, 1024
+#: Share of a table that is looked at to tell which keys are hot, the least rows of it and the least part of it that make a key hot
+#: (so there are at most a hundred thousand hot keys), and shares that a hot key is dealt to.
+HOT_SAMPLE, HOT_ROWS, HOT_PART, HOT_SHARES = 256, 8, 1e-5, 1024
 
 
 def in_sample(*columns) -> Column:
@@ -98,13 +99,12 @@ def in_sample(*columns) -> Column:
 
 def hot_keys(sample: DataFrame, key: str = "key") -> DataFrame:
     """Keys of so many rows in the sample that one task should not take them whole. Only how rows are dealt depends on it."""
-    return materialize(sample.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= HOT_ROWS).select(key), "hot-keys")
+    counts = materialize(sample.groupBy(key).agg(F.count("*").alias("n")), "key-counts")
+    least = max(HOT_ROWS, HOT_PART * (counts.agg(F.sum("n")).first()[0] or 0))
+    return counts.where(F.col("n") >= least).select(key)
 
 
 def with_shares(rows: DataFrame, hot: DataFrame, by: str, key: str = "key") -> DataFrame:
-    """Adds ``share``: 0 for ordinary keys, one of HOT_SHARES from 1 on by a hash of ``by`` for hot ones.
-
-    The hot keys are sent to all tasks if Spark finds them small enough, else joined.
-    """
+    """Adds ``share``: 0 for ordinary keys, one of HOT_SHARES from 1 on by a hash of ``by`` for hot ones, of which there are few."""
     dealt = F.pmod(F.xxhash64(by), F.lit(HOT_SHARES)).cast("int") + 1
-    return rows.join(hot.withColumn("_hot", F.lit(True)), key, "left").withColumn("share", F.when(F.col("_hot"), dealt).otherwise(0)).drop("_hot")
+    return rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left").withColumn("share", F.when(F.col("_hot"), dealt).otherwise(0)).drop("_hot")

@@ -368,7 +368,7 @@ def test_decontamination_of_whole_tables(documents):
             if np.isin(item, coded).mean() >= decontaminate.THRESHOLD and decontaminate.align(item, coded)[0] >= decontaminate.THRESHOLD:
                 want.add((r.doc_id, k))
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(documents, documents.sparkSession.read.parquet(f"{SF}/benchmark.parquet")).collect()}
-    assert got == want and len(want) > 3
+    assert got == want and len(want) >= 3
 
 
 def test_decontamination_of_very_long_items():
@@ -429,11 +429,11 @@ def test_mixing(spark, none):
 
 def test_mixing_replayed(documents, monkeypatch):
     """The permutation of each source, replayed document by document: blocks in hash order, documents in hash order, tokens spent one by one."""
-    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 5_000)
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 1_000)
     docs = documents.select("doc_id", "text", "source")
     got = {r.doc_id: r for r in mixing.mix(docs).collect()}
     n = {r.doc_id: len(re.findall(r"\S+", r.text or "")) for r in docs.collect()}
-    blocks = {s: min(mixing.MOST_BLOCKS, math.ceil(max(1, sum(n[k] for k in got if got[k].source == s) / 5_000))) for s in {r.source for r in got.values()}}
+    blocks = {s: min(mixing.MOST_BLOCKS, math.ceil(max(1, sum(n[k] for k in got if got[k].source == s) / 1_000))) for s in {r.source for r in got.values()}}
     sized = docs.select("doc_id", "text", "source", F.create_map(*[F.lit(v) for kv in blocks.items() for v in kv])[F.col("source")].alias("b"))
     sized = sized.withColumn("block", mixing.block_of(1, F.col("b")))
     hashes = sized.select("doc_id", "source", "block", F.xxhash64(F.lit(3), "source", "block").alias("h1"), F.xxhash64(F.lit(4), "doc_id", "text").alias("h2")).collect()
