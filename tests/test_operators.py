@@ -378,3 +378,13 @@ def test_alpha_shape_brute_force(spark):
     got = {(r.a, r.b) for r in hulls.alpha_edges(cloud(spark, [(x, y, 0) for x, y in pts]), 1 / 0.8).collect()}
     assert got == {e for e, n in want.items() if n == 1} and len(got) > 20
     assert hulls.alpha_edges(cloud(spark, [(0, 0, 0)]), 1.0).count() == 0
+
+
+def test_running_ensemble_equals_batch(spark, tmp_path):
+    rows = [(i % 7, float(i), float(i % 3)) for i in range(60)]
+    df = spark.createDataFrame(rows, "point_id bigint, dx double, sem0 double")
+    df.repartition(3).write.parquet(str(tmp_path / "tiles"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "tiles"))
+    got = {r.point_id: (r.dx, r.sem0, r.n) for r in ingest.drain(ingest.running_ensemble(stream, ["dx", "sem0"]), "ensemble_test").collect()}
+    want = {r.point_id: (r.dx, r.sem0, r.n) for r in predictions.ensemble(df, ["point_id"], ["dx", "sem0"], []).collect()}
+    assert got == want and len(got) == 7
