@@ -293,18 +293,22 @@ def ag2(p):
     return rounded(neighbours.neighbour_verticality(p, 0.6), "verticality")
 
 
-#: The stated query set: every point whose id is divisible by 20, against all labelled points. Most have five of them within 1.2 m;
-#: the SQL compares the others with all.
-NEAREST = """SELECT q.point_id AS id, s.point_id AS other, (q.x - s.x) * (q.x - s.x) + (q.y - s.y) * (q.y - s.y) + (q.z - s.z) * (q.z - s.z) AS d2 FROM
-  (SELECT *, floor(x / 12e-1) + dx AS i, floor(y / 12e-1) + dy AS j, floor(z / 12e-1) + dz AS k FROM points, (VALUES (-1), (0), (1)) p(dx), (VALUES (-1), (0), (1)) t(dy), (VALUES (-1), (0), (1)) u(dz) WHERE point_id % 20 = 0) q
-  JOIN (SELECT *, floor(x / 12e-1) AS i, floor(y / 12e-1) AS j, floor(z / 12e-1) AS k FROM points WHERE gt <> -1) s USING (i, j, k)
-  WHERE (q.x - s.x) * (q.x - s.x) + (q.y - s.y) * (q.y - s.y) + (q.z - s.z) * (q.z - s.z) <= 144e-2"""
-SETTLED = "SELECT id FROM nearest GROUP BY id HAVING count(*) >= 5"
-KNN = """SELECT id, other, d2, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, other) AS rank FROM
-  (SELECT * FROM nearest WHERE id IN (SELECT id FROM settled) UNION ALL
-   SELECT q.point_id, s.point_id, (q.x - s.x) * (q.x - s.x) + (q.y - s.y) * (q.y - s.y) + (q.z - s.z) * (q.z - s.z) FROM
-     (SELECT * FROM points WHERE point_id % 20 = 0 AND point_id NOT IN (SELECT id FROM settled)) q, (SELECT * FROM points WHERE gt <> -1) s)) WHERE rank <= 5"""
-NEAREST_PARTS = {"nearest": NEAREST, "settled": SETTLED, "knn": KNN}
+def knn_sql(asked: str, given: str, k: int) -> dict[str, str]:
+    """Parts of SQL that end in ``knn`` (id, other, d2, rank) for two SELECTs of points: most have k of them within 1.2 m, the others are compared with all."""
+    d2 = "(q.x - s.x) * (q.x - s.x) + (q.y - s.y) * (q.y - s.y) + (q.z - s.z) * (q.z - s.z)"
+    cells = "floor(x / 12e-1){dx} AS i, floor(y / 12e-1){dy} AS j, floor(z / 12e-1){dz} AS k"
+    near = cells.format(dx=" + dx", dy=" + dy", dz=" + dz")
+    return {
+        "asked": asked,
+        "given": given,
+        "nearest": f"SELECT q.point_id AS id, s.point_id AS other, {d2} AS d2 FROM (SELECT *, {near} FROM asked, (VALUES (-1), (0), (1)) p(dx), (VALUES (-1), (0), (1)) t(dy), (VALUES (-1), (0), (1)) u(dz)) q JOIN (SELECT *, {cells.format(dx='', dy='', dz='')} FROM given) s USING (i, j, k) WHERE {d2} <= 144e-2",
+        "settled": f"SELECT id FROM nearest GROUP BY id HAVING count(*) >= {k}",
+        "knn": f"SELECT id, other, d2, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, other) AS rank FROM (SELECT * FROM nearest WHERE id IN (SELECT id FROM settled) UNION ALL SELECT q.point_id, s.point_id, {d2} FROM (SELECT * FROM asked WHERE point_id NOT IN (SELECT id FROM settled)) q, given s)) WHERE rank <= {k}",
+    }
+
+
+#: The stated query set: every point whose id is divisible by 20, against all labelled points.
+NEAREST_PARTS = knn_sql("SELECT * FROM points WHERE point_id % 20 = 0", "SELECT * FROM points WHERE gt <> -1", 5)
 
 
 @query("JN5", "SELECT id, other, rank FROM knn", **NEAREST_PARTS)
@@ -312,20 +316,22 @@ def jn5(p):
     return neighbours.knn(p.where("point_id % 20 = 0"), p.where("gt != -1"), 5, 0.6).select("id", "other", F.col("rank").cast("bigint").alias("rank"))
 
 
-VOTE = "SELECT id, label FROM (SELECT id, gt AS label, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, gt) AS k FROM knn JOIN points ON point_id = other GROUP BY id, gt) WHERE k = 1"
+def vote_sql(label: str) -> str:
+    """(id, label): the majority of the neighbours, the lowest on ties; labels come from ``given``."""
+    return f"SELECT id, label FROM (SELECT id, {label} AS label, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, {label}) AS k FROM knn JOIN given ON point_id = other GROUP BY id, {label}) WHERE k = 1"
 
 
-@query("AG9", "SELECT id, label FROM vote", **NEAREST_PARTS, vote=VOTE)
+@query("AG9", "SELECT id, label FROM vote", **NEAREST_PARTS, vote=vote_sql("gt"))
 def ag9(p):
     return predictions.propagate_nearest(p.where("gt != -1"), p.where("point_id % 20 = 0"), 5, 0.6, "gt")
 
 
-@query("JN6")
+@query("JN6", "SELECT point_id, CASE WHEN gt = -1 THEN label ELSE gt END AS gt FROM points LEFT JOIN vote ON id = point_id", **knn_sql("SELECT * FROM points WHERE gt = -1", "SELECT * FROM points WHERE gt <> -1", 5), vote=vote_sql("gt"))
 def jn6(p):
     return predictions.assign_remaining(p.select("point_id", "x", "y", "z", "gt"), "gt", 5, 0.6).select("point_id", "gt")
 
 
-@query("FP10")
+@query("FP10", "SELECT id AS point_id FROM m WHERE m <= (SELECT avg(m) + 2 * stddev_pop(m) FROM m)", **knn_sql("SELECT * FROM points", "SELECT * FROM points", 6), m="SELECT id, avg(sqrt(d2)) AS m FROM knn WHERE id <> other GROUP BY id")
 def fp10(p):
     return neighbours.statistical_outliers(p, 5, 2.0, 0.6).select("point_id")
 
@@ -392,7 +398,10 @@ def jn8(p):
     return predictions.propagate_by_key(voxels.voxel_members(p, 0.5), some, ["vx", "vy", "vz"], F.lit(-1).cast("bigint")).select("point_id", "pred")
 
 
-@query("JN9")
+FILLED_IN = "SELECT k.point_id, k.x, k.y, k.z, coalesce(v.pred, -1) AS pred FROM (SELECT k.*, p.x, p.y, p.z FROM k JOIN points p USING (point_id)) k LEFT JOIN (SELECT * FROM v WHERE first % 5 <> 0) v USING (vx, vy, vz)"
+
+
+@query("JN9", "SELECT point_id, CASE WHEN pred = -1 THEN label ELSE pred END AS pred FROM filled_in LEFT JOIN vote ON id = point_id", v=VOX, k=KEYED, filled_in=FILLED_IN, **knn_sql("SELECT * FROM filled_in WHERE pred = -1", "SELECT * FROM filled_in WHERE pred <> -1", 5), vote=vote_sql("pred"))
 def jn9(p):
     some = voxel_predictions(p).where("point_id % 5 != 0").drop("point_id")
     members = voxels.voxel_members(p, 0.5).join(p.select("point_id", "x", "y", "z"), "point_id")
