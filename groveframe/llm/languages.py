@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import fraction_of, table
 
-SAMPLE_CHARS, SAMPLE_DOCS, MAX_LANGUAGES = 20_000, 60, 512
+SAMPLE_CHARS, SAMPLE_DOCS, MAX_LANGUAGES = 12_000, 60, 512
 #: Letters with a symbol of their own, and symbols that all further letters share by code point.
 LETTERS, SHARED = 120, 120
 LANE, STEP_CHARS = 512, 1 << 20

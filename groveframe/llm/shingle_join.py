@@ -49,7 +49,7 @@ BAND_RATIO, BANDS = 1.5, 60
 SKETCH_WORDS = 8
 #: A join key with more classes counts as common in the last round.
 COMMON = 24
-CACHED_WORDS = 500_000
+CACHED_WORDS = 150_000
 VERIFY_BLOCKS = 2
 #: Bits of a number of spare words; the band stands above them.
 SPARE_BITS = 40
@@ -244,8 +244,8 @@ def summaries(docs: DataFrame, names: ClassNames) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 sets = shingle_sets(part.column(1).to_pylist())
                 keys = [names(s) if len(s) else (None, None) for s in sets]
                 wide = [parity_bits(s) for s in sets]
