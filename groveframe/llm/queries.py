@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from .decontaminate import op6_decontamination
+from .divergence import OP12_SQL, op12_divergence
 from .fingerprints import op1_fingerprints
 from .language_model import op9_language_model
 from .languages import op10_languages
+from .licenses import OP13_SQL, op13_licenses
 from .mixing import op5_mixing
+from .negatives import OP11_SQL, op11_hard_negatives
 from .passages import op3_passages
 from .quality import op4_quality
 from .shingle_join import op7_shingle_join
@@ -24,8 +27,14 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_language_model": op9_language_model,
     "op10_languages": op10_languages,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_divergence": op12_divergence,
+    "op13_licenses": op13_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_warc": OP8_SQL,
+    "op11_hard_negatives": OP11_SQL,
+    "op12_divergence": OP12_SQL,
+    "op13_licenses": OP13_SQL,
 }

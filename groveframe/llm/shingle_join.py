@@ -15,7 +15,8 @@ them get another name; that is about one pair for each 2^65 pairs of sets.
 
 Words of empty blocks say nothing and would join everything. B leaves room beyond D + 1: as long as a document has fewer empty
 words than B - D, one of its matches is not empty, and its empty words are left out; otherwise they are kept. Words shared by
-many documents (a common line alone in its block) are treated in the same way in the last round. Both are exact.
+many documents (a common line alone in its block) are treated in the same way in the last round, but not where the empty words are
+kept, as a partner that leaves out its own shares none of these. Both are exact.
 
 Equal sets are one class, represented by its smallest doc_id, and each task emits a class once, so copies of a text cost no
 more than one. Within a join key each class is first paired with the key's first class and the one before it, never with all; a hot
@@ -49,6 +50,8 @@ BAND_RATIO, BANDS = 1.5, 60
 SKETCH_WORDS = 8
 #: A join key with more classes counts as common in the last round.
 COMMON = 24
+#: Classes of a join key that a task pairs at a time in the last round.
+SHARE = 256
 CACHED_WORDS = 150_000
 VERIFY_BLOCKS = 2
 #: Bits of a number of spare words; the band stands above them.
@@ -213,12 +216,12 @@ def band_words(found: np.ndarray, band: int) -> np.ndarray:
 
 
 def spare_words(found: np.ndarray, band: int) -> int:
-    """How many more words of a set in a band may be left out."""
+    """How many more words of a set in a band may be left out: none if its empty words are kept, since a partner may have none of these."""
     d, blocks = BLOCKS[band]
     block = ((found >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
     used = 1 + int(np.count_nonzero(block[1:] != block[:-1]))
     empty = blocks - used
-    return blocks - d - 1 - (empty if empty < blocks - d else 0) if d else 0
+    return blocks - d - 1 - empty if d and empty < blocks - d else 0
 
 
 def parity_bits(found: np.ndarray) -> np.ndarray:
@@ -398,10 +401,15 @@ def remaining_pairs(stars: DataFrame, known: DataFrame, facts: DataFrame, found:
     free = held.join(spare, ["c", "band"]).where("n_common <= spare").select("c", "band")
     live = rooted.join(state.where("open"), "key").withColumn("band", F.col("key").bitwiseAND(F.lit(63)))
     kept = live.where(F.col("size") <= COMMON).select("key", "c", "root").unionByName(live.where(F.col("size") > COMMON).join(free, ["c", "band"], "left_anti").select("key", "c", "root"))
-    full = kept.join(facts.select("c", "n", "sketch"), "c")
-    one, two = (full.select("key", *(F.col(x).alias(x + k) for x in ("c", "root", "n", "sketch"))) for k in ("1", "2"))
-    close = (F.col("c1") < F.col("c2")) & (F.col("root1") != F.col("root2")) & within_bounds("n1", "n2", "sketch1", "sketch2")
-    pairs = one.join(two, "key").where(close).select(F.col("c1").alias("a"), F.col("c2").alias("b")).distinct()
+    # in each key one root is the most frequent: every pair of two roots has a class outside it, so only these go to all shares
+    counted = kept.groupBy("key", "root").agg(F.count("*").alias("n_root"))
+    sizes = counted.groupBy("key").agg(F.max_by("root", F.struct("n_root", "root")).alias("major"), F.ceil(F.sum("n_root") / SHARE).alias("shares"))
+    full = kept.join(sizes, "key").join(facts.select("c", "n", "sketch"), "c")
+    names = ("c", "root", "n", "sketch")
+    one = full.where("root != major").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), *(F.col(x).alias(x + "1") for x in names))
+    two = full.select("key", F.pmod(F.xxhash64("c"), F.col("shares")).alias("share"), *(F.col(x).alias(x + "2") for x in names))
+    close = (F.col("root1") != F.col("root2")) & within_bounds("n1", "n2", "sketch1", "sketch2")
+    pairs = one.join(two, ["key", "share"]).where(close).select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct()
     return plausible(pairs, facts)  # long sketches meet each pair once, not each key
 
 
