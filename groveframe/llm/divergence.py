@@ -21,6 +21,7 @@ further columns are ignored, and a null doc_id is of no matter.
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,8 @@ from .common import materialize, table
 
 #: Rows and counters a row of the sketch, and counters of a block of it.
 DEPTH, WIDTH, BLOCK = 4, 1 << 21, 1 << 16
-#: Entries of the tables that a task holds before it hands them on.
-CACHED, HELD = 1_000_000, 400_000
+#: Counts that a task holds before it hands them on.
+HELD = 500_000
 
 #: What belongs to a term (letters and all beyond ASCII, A-Z lower-cased); the rest parts terms.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -45,22 +46,15 @@ def terms_of(text: bytes) -> list[bytes]:
     return text.translate(LETTERS).split()
 
 
-class Cells(dict):
-    """The places of a (language, term) in the rows of the sketch, one number each over all rows; forgotten when there are too many."""
+def cells_of(lang: bytes, terms: list[bytes], depth: int, width: int) -> np.ndarray:
+    """(terms, depth): the places of the terms of a language in the rows of the sketch, one number each over all rows."""
+    import xxhash
 
-    def __init__(self, depth: int, width: int):
-        self.depth, self.width = depth, width
-
-    def __missing__(self, key: tuple[bytes, bytes]) -> tuple[int, ...]:
-        import xxhash
-
-        if len(self) > CACHED:
-            self.clear()
-        lang, term = key
-        digest = xxhash.xxh3_128_intdigest(lang + b"\x00" + term)  # no term holds a zero byte
-        one, two = digest & (2**64 - 1), (digest >> 64) | 1
-        got = self[key] = tuple(row * self.width + ((one + row * two) & (2**64 - 1)) % self.width for row in range(self.depth))
-        return got
+    lead = lang + b"\x00"  # no term holds a zero byte
+    both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(lead + t) for t in terms), np.uint64).reshape(-1, 2)
+    rows = np.arange(depth, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        return (rows * np.uint64(width) + (both[:, :1] + rows * (both[:, 1:] | np.uint64(1))) % np.uint64(width)).astype(np.int64)
 
 
 def sketch_rows(docs: DataFrame, threshold: int) -> DataFrame:
@@ -68,14 +62,25 @@ def sketch_rows(docs: DataFrame, threshold: int) -> DataFrame:
     top = min(threshold, 255)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, cells = np.zeros(DEPTH * WIDTH, np.uint8), Cells(DEPTH, WIDTH)
+        counts, held, size = np.zeros(DEPTH * WIDTH, np.uint8), defaultdict(Counter), 0
+
+        def put() -> None:
+            for lang, own in held.items():
+                where, back = np.unique(cells_of(lang, list(own), DEPTH, WIDTH), return_inverse=True)
+                n = np.bincount(back.ravel(), np.repeat(np.fromiter(own.values(), np.int64, len(own)), DEPTH))
+                counts[where] = np.minimum(counts[where] + n, top)
+            held.clear()
+
         for batch in batches:
-            langs, texts = batch.column(0).cast(pa.binary()).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()
-            for at in range(0, len(texts), 256):
-                places = [cells[lang, term] for lang, text in zip(langs[at : at + 256], texts[at : at + 256], strict=True) for term in set(terms_of(text))]
-                if places:
-                    where, n = np.unique(np.array(places, np.int64), return_counts=True)
-                    counts[where] = np.minimum(counts[where] + n, top)
+            for lang, text in zip(*(batch.column(i).cast(pa.binary()).to_pylist() for i in (0, 2)), strict=True):
+                own = held[lang]
+                size -= len(own)
+                own.update(set(terms_of(text)))
+                size += len(own)
+                if size > HELD:
+                    put()
+                    size = 0
+        put()
         parts = counts.reshape(-1, BLOCK)
         for block in np.flatnonzero(parts.any(axis=1)):
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([parts[block].tobytes()], pa.binary())], ["block", "counters"])
@@ -114,41 +119,33 @@ def survivor_counts(docs: DataFrame, threshold: int) -> DataFrame:
     least = min(threshold, 255)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, cells, possible = counters.value, Cells(DEPTH, WIDTH), {}
-        held: dict[tuple, list[int]] = {}
-
-        def survives(key: tuple[bytes, bytes]) -> bool:
-            got = possible.get(key)
-            if got is None:
-                if len(possible) > CACHED:
-                    possible.clear()
-                got = possible[key] = min(seen[c] for c in cells[key]) >= least
-                cells.pop(key, None)
-            return got
-
-        def out() -> pa.RecordBatch:
-            keys, values = list(held), list(held.values())
+        seen, held, size = counters.value, defaultdict(lambda: (Counter(), Counter())), 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (often, inside) in held.items():
+                terms = list(often)
+                if not terms:
+                    continue
+                kept = seen[cells_of(lang, terms, DEPTH, WIDTH)].min(axis=1) >= least
+                names = [pa.repeat(pa.scalar(x.decode()), int(kept.sum())) for x in (lang, source)]
+                term = pa.array([t for t, k in zip(terms, kept.tolist(), strict=True) if k], pa.binary()).cast(pa.string())
+                n = np.fromiter(often.values(), np.int64, len(terms))[kept]
+                docs = np.fromiter(map(inside.__getitem__, terms), np.int64, len(terms))[kept]
+                yield pa.RecordBatch.from_arrays([*names, term, pa.array(n), pa.array(docs)], ["lang", "source", "term", "n", "docs"])
             held.clear()
-            names = [pa.array([k[i] for k in keys], pa.binary()).cast(pa.string()) for i in range(3)]
-            return pa.RecordBatch.from_arrays([*names, *(pa.array([v[i] for v in values], pa.int64()) for i in range(2))], ["lang", "source", "term", "n", "docs"])
 
         for batch in batches:
             for lang, source, text in zip(*(batch.column(i).cast(pa.binary()).to_pylist() for i in range(3)), strict=True):
-                own: dict[bytes, int] = {}
-                for term in terms_of(text):
-                    own[term] = own.get(term, 0) + 1
-                for term, n in own.items():
-                    if survives((lang, term)):
-                        row = held.get((lang, source, term))
-                        if row is None:
-                            held[lang, source, term] = [n, 1]
-                        else:
-                            row[0] += n
-                            row[1] += 1
-                if len(held) > HELD:
-                    yield out()
-        if held:
-            yield out()
+                often, inside = held[lang, source]
+                terms = terms_of(text)
+                size -= len(often)
+                often.update(terms)
+                inside.update(set(terms))
+                size += len(often)
+                if size > HELD:
+                    yield from out()
+                    size = 0
+        yield from out()
 
     rows = docs.mapInArrow(run, "lang string, source string, term string, n long, docs long")
     return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
