@@ -27,19 +27,19 @@ def placed(df: DataFrame, axes: str) -> DataFrame:
     return df.where(reduce(and_, (F.abs(a) < float("inf") for a in axes)))
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius: float, axes: str = "xyz") -> DataFrame:
-    """(id, other, d2, and the places of both): all pairs within ``radius``; both sides have point_id and the axes.
+def radius_join(left: DataFrame, right: DataFrame, radius: float, axes: str = "xyz", more: tuple[str, ...] = ()) -> DataFrame:
+    """(id, other, d2, and the places and ``more`` columns of both, after l and r): all pairs within ``radius``; both sides have point_id and the axes.
 
     Cells are two radii wide. A left row is sent to the cells its ball meets, two along an axis at most, so it is an equi-join on
     cells; put the smaller side left. No pair is formed outside neighbouring cells. Rows without a finite place have no pairs.
     """
     size = 2 * radius
-    near = placed(left, axes).select(F.col("point_id").alias("id"), *(F.col(a).alias(f"l{a}") for a in axes))
+    near = placed(left, axes).select(F.col("point_id").alias("id"), *(F.col(a).alias(f"l{a}") for a in (*axes, *more)))
     for a in axes:
         # a little wider, so that no pair at exactly the radius is lost to rounding
         near = near.withColumn(f"c{a}", F.explode(F.sequence(cell(F.col(f"l{a}") - radius * 1.000001, size), cell(F.col(f"l{a}") + radius * 1.000001, size))))
-    there = placed(right, axes).select(F.col("point_id").alias("other"), *(F.col(a).alias(f"r{a}") for a in axes), *(cell(F.col(a), size).alias(f"c{a}") for a in axes))
-    return near.join(there, [f"c{a}" for a in axes]).select("id", "other", squared(axes).alias("d2"), *(F.col(f"{k}{a}") for k in "lr" for a in axes)).where(F.col("d2") <= radius * radius)
+    there = placed(right, axes).select(F.col("point_id").alias("other"), *(F.col(a).alias(f"r{a}") for a in (*axes, *more)), *(cell(F.col(a), size).alias(f"c{a}") for a in axes))
+    return near.join(there, [f"c{a}" for a in axes]).select("id", "other", squared(axes).alias("d2"), *(F.col(f"{k}{a}") for k in "lr" for a in (*axes, *more))).where(F.col("d2") <= radius * radius)
 
 
 def squared(axes: str):

@@ -115,14 +115,6 @@ def test_dbscan_brute_force(spark):
     assert {r.point_id: r.cluster for r in clustering.dbscan(pair, 0.15, 1).collect()} == {0: 1, 1: 1, 2: -1}
 
 
-def test_hdbscan_finds_blobs_of_different_density():
-    rng = np.random.default_rng(4)
-    pts = np.vstack([rng.normal(0, 0.05, (80, 2)), rng.normal((1.5, 0), 0.2, (80, 2)), rng.uniform(-1, 3, (5, 2)) + [0, 5]])
-    labels = clustering.hdbscan_labels(pts, 15)
-    assert len(set(labels[:80]) - {-1}) == 1 and len(set(labels[80:160]) - {-1}) == 1 and labels[0] != labels[100]
-    assert (labels[160:] == -1).all()
-
-
 def test_assignment_brute_force():
     rng = np.random.default_rng(5)
     for _ in range(200):
