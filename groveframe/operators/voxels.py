@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.columns import centimetres
 from ..functions.lineage import cut
 
 ORIGIN = 200.0
@@ -21,6 +22,21 @@ def voxelize(points: DataFrame, size: float, label: str = "gt") -> DataFrame:
     return points.groupBy(*keys).agg(*(F.avg(c).alias(c) for c in "xyz"), F.min_by(label, "point_id").alias("label"), F.min("point_id").alias("point_id"), F.count("*").alias("n"))
 
 
+def mean_centimetres(total: Column, n: Column) -> Column:
+    """The mean of whole centimetres, in metres, rounded half to even on whole numbers: no order of partial sums changes it."""
+    rest = F.pmod(total, n)
+    below = F.call_function("div", total - rest, n)
+    up = (2 * rest > n) | ((2 * rest == n) & (F.pmod(below, F.lit(2)) == 1))
+    return (below + F.when(up, 1).otherwise(0)) / 100.0
+
+
+def voxelize_exactly(points: DataFrame, size: float, label: str = "gt") -> DataFrame:
+    """``voxelize`` with centroids to the centimetre, of points whose coordinates count to the centimetre."""
+    keys = [cell(F.col(c), size).alias(f"v{c}") for c in "xyz"]
+    sums = points.groupBy(*keys).agg(*(F.sum(centimetres(F.col(c))).alias(c) for c in "xyz"), F.min_by(label, "point_id").alias("label"), F.min("point_id").alias("point_id"), F.count("*").alias("n"))
+    return sums.withColumns({c: mean_centimetres(F.col(c), F.col("n")) for c in "xyz"})
+
+
 def voxel_members(points: DataFrame, size: float) -> DataFrame:
     """(vx, vy, vz, point_id): which points a voxel stands for."""
     return points.select(*(cell(F.col(c), size).alias(f"v{c}") for c in "xyz"), "point_id")

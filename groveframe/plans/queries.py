@@ -695,12 +695,20 @@ PLAN = Config(Sampling(voxel_size=0.5, search_radius=0.6), Grouping(tau_vert=0.1
 
 def tile_predictions(p: DataFrame) -> DataFrame:
     """A table of predictions: two rows for each voxel that lead to the stem, a little apart, without a part of the voxels."""
-    v = voxels.voxelize(p, PLAN.sampling.voxel_size, "gt").select("vx", "vy", "vz", "point_id", *(c.half_even(F.col(a)).alias(a) for a in "xyz"), F.col("label").alias("gt"))
+    v = voxels.voxelize_exactly(p, PLAN.sampling.voxel_size, "gt").select("vx", "vy", "vz", "point_id", *"xyz", F.col("label").alias("gt"))
     v = v.join(p.select("point_id", "x0", "y0"), "point_id").where("point_id % 11 != 3")
     return with_offsets(v).withColumn("verticality", F.col("z") / 26.0).withColumn("tile", F.explode(F.array(F.lit(-1), F.lit(1)))).withColumn("dx", F.col("dx") + F.col("tile") / 1000.0)
 
 
-VOXELS = "SELECT CAST(floor((x + 200e0) / 5e-1) AS BIGINT) AS vx, CAST(floor((y + 200e0) / 5e-1) AS BIGINT) AS vy, CAST(floor((z + 200e0) / 5e-1) AS BIGINT) AS vz, min(point_id) AS point_id, arg_min(gt, point_id) AS gt, arg_min(tree_key, point_id) AS tree_key, round_even(avg(z) * 1e2, 0) / 1e2 AS z FROM points GROUP BY 1, 2, 3"
+def centre_sql(axis: str, n: str = "count(*)") -> str:
+    """The mean of whole centimetres, half to even on whole numbers, in DuckDB."""
+    total = f"sum(CAST(round_even({axis} * 1e2, 0) AS BIGINT))"
+    rest = f"((({total}) % {n}) + {n}) % {n}"
+    below = f"(({total}) - {rest}) // {n}"
+    return f"({below} + CASE WHEN 2 * ({rest}) > {n} OR (2 * ({rest}) = {n} AND abs({below}) % 2 = 1) THEN 1 ELSE 0 END) / 1e2"
+
+
+VOXELS = "SELECT CAST(floor((x + 200e0) / 5e-1) AS BIGINT) AS vx, CAST(floor((y + 200e0) / 5e-1) AS BIGINT) AS vy, CAST(floor((z + 200e0) / 5e-1) AS BIGINT) AS vz, min(point_id) AS point_id, arg_min(gt, point_id) AS gt, arg_min(tree_key, point_id) AS tree_key, " + centre_sql("z") + " AS z FROM points GROUP BY 1, 2, 3"
 #: The offsets lead to the stems, five metres apart, so the clusters are the trees.
 STATES = "SELECT *, tree, CASE WHEN NOT tree THEN 0 WHEN z / 26e0 > 1077e-4 AND abs(-z + ((point_id % 21) - 10) / 1000e0) < 123e-1 THEN 1 ELSE -1 END AS state FROM (SELECT *, (gt <> 0) <> (point_id % 97 = 0) AS tree FROM vox WHERE point_id % 11 <> 3)"
 CLUSTERS = "SELECT tree_key, dense_rank() OVER (ORDER BY first) AS cluster FROM (SELECT tree_key, min(point_id) AS first FROM states WHERE state = 1 GROUP BY tree_key HAVING count(*) >= 50)"
@@ -720,7 +728,7 @@ def plan_segment(p):
     return segmentation.segment(p, tile_predictions(p), PLAN)[0].join(members, "point_id", "left_semi").select("point_id", "instance")
 
 
-TILE_VOXELS = "SELECT CAST(floor((x + 200e0) / 5e-1) AS BIGINT) AS vx, CAST(floor((y + 200e0) / 5e-1) AS BIGINT) AS vy, CAST(floor((z + 200e0) / 5e-1) AS BIGINT) AS vz, round_even(avg(x) * 1e2, 0) / 1e2 AS x, round_even(avg(y) * 1e2, 0) / 1e2 AS y FROM points GROUP BY 1, 2, 3"
+TILE_VOXELS = "SELECT CAST(floor((x + 200e0) / 5e-1) AS BIGINT) AS vx, CAST(floor((y + 200e0) / 5e-1) AS BIGINT) AS vy, CAST(floor((z + 200e0) / 5e-1) AS BIGINT) AS vz, " + centre_sql("x") + " AS x, " + centre_sql("y") + " AS y FROM points GROUP BY 1, 2, 3"
 
 
 @query("TL3", "SELECT t.col, t.row, count(*) AS n FROM v JOIN t ON x >= xlo - 135e-1 AND x <= xhi + 135e-1 AND y >= ylo - 135e-1 AND y <= yhi + 135e-1 SEMI JOIN (SELECT DISTINCT col, row FROM v JOIN t ON x >= xlo AND x < xhi AND y > ylo AND y <= yhi) l ON t.col = l.col AND t.row = l.row GROUP BY t.col, t.row", v=TILE_VOXELS, g=GRID.replace("FROM points", "FROM v"), t=TILES)
