@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import fraction_of, table
 
-SAMPLE_CHARS, SAMPLE_DOCS, MAX_LANGUAGES = 12_000, 60, 512
+SAMPLE_CHARS, SAMPLE_DOCS, MAX_LANGUAGES = 20_000, 60, 512
 #: Letters with a symbol of their own, and symbols that all further letters share by code point.
 LETTERS, SHARED = 120, 120
 LANE, STEP_CHARS = 512, 1 << 20
@@ -186,16 +186,6 @@ class CrossParser:
         return [self.names[b] if n else "und" for b, n in zip(best, letters, strict=True)], np.where(letters > 0, 1 / weight, 0.0)
 
 
-_PARSERS: dict[int, CrossParser] = {}
-
-
-def parser_of(samples: dict[str, str]) -> CrossParser:
-    """The parser of these samples, built once in a worker."""
-    key = hash(tuple(sorted(samples.items())))
-    if key not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[key] = CrossParser(samples)
-    return _PARSERS[key]
 
 
 def learn_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, held_out: int = 0) -> dict[str, str]:
@@ -206,13 +196,14 @@ def learn_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return {}
-    order = F.pmod(F.xxhash64("id", "lang"), F.lit(1 << 30))
+    # of the text too: rows without an id, or of one id, are drawn as others are
+    order = F.pmod(F.xxhash64("id", "lang", "text"), F.lit(1 << 30))
     chosen = F.lit(False)
     for r in counts:
         share = int(min(1.0, SAMPLE_DOCS / r["count"]) * (1 << 30))
         chosen = chosen | ((F.col("lang") == r["lang"]) & (order < share))
     rows = usable.where("text is not null").withColumn("size", F.length("text"))
-    drawn = rows.where(chosen & (F.col("size") <= SAMPLE_CHARS)).select("lang", order.alias("o"), "text").collect()
+    drawn = rows.where(chosen & (F.col("size") <= SAMPLE_CHARS)).select("lang", order.alias("o"), "text").distinct().collect()
     held: dict[str, list[str]] = {}
     for r in sorted(drawn, key=lambda r: (r["lang"], r["o"], r["text"])):
         texts = held.setdefault(r["lang"], [])
@@ -234,7 +225,7 @@ def identify(docs: DataFrame, samples: dict[str, str], text_col: str = "text", k
     sent = docs.sparkSession.sparkContext.broadcast(samples)  # bounded: about SAMPLE_CHARS a language
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = parser_of(sent.value)
+        parser = CrossParser(sent.value)  # gone with the task: workers go on to other stages
         for batch in batches:
             lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
             blocks = np.cumsum(lengths) // STEP_CHARS
