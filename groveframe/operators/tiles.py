@@ -97,14 +97,14 @@ def turned(size: float) -> tuple[Column, Column]:
     return F.cos(a) * dx + F.sin(a) * dy, F.cos(a) * dy - F.sin(a) * dx
 
 
-def crop_points(points: DataFrame, crops: DataFrame, size: float, bin_size: float = 5.0) -> DataFrame:
-    """Points of every crop, in its frame (u, v): crops are sent to the ground bins their box touches, an equi-join on bins."""
+def crop_points(points: DataFrame, crops: DataFrame, size: float, bin_size: float = 5.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """Points of every crop, in its frame (u, v): crops are sent to the ground bins their box touches, an equi-join on bins and the columns ``by``."""
     reach = (F.floor((F.col(c) + s * F.col("reach")) / bin_size).cast("bigint") for c, s in (("cx", -1), ("cx", 1), ("cy", -1), ("cy", 1)))
     x1, x2, y1, y2 = reach
     placed = crops.withColumn("bx", F.explode(F.sequence(x1, x2))).withColumn("by", F.explode(F.sequence(y1, y2)))
     binned = points.withColumn("bx", F.floor(F.col("x") / bin_size).cast("bigint")).withColumn("by", F.floor(F.col("y") / bin_size).cast("bigint"))
     u, v = turned(size)
-    return binned.join(placed, ["bx", "by"]).withColumn("u", u).withColumn("v", v).where(F.greatest(F.abs("u"), F.abs("v")) <= size / 2).drop("bx", "by")
+    return binned.join(placed, [*by, "bx", "by"]).withColumn("u", u).withColumn("v", v).where(F.greatest(F.abs("u"), F.abs("v")) <= size / 2).drop("bx", "by")
 
 
 def occupancy(points: DataFrame, bounds: tuple[float, float, float, float], res: float = 1.0, label: str = "gt") -> DataFrame:
@@ -117,13 +117,13 @@ def occupancy(points: DataFrame, bounds: tuple[float, float, float, float], res:
     return grid.join(hit, ["i", "j"], "left").select("i", "j", (F.lit(xmin) + (F.col("i") + 0.5) * rx).alias("cx"), (F.lit(ymin) + (F.col("j") + 0.5) * ry).alias("cy"), F.coalesce("occ", F.lit(0)).alias("occ"))
 
 
-def fill_holes(grid: DataFrame, reach: int, least: float) -> DataFrame:
-    """Occupies empty cells whose neighbourhood (clamped at the border) is occupied to at least this share."""
-    frame = W.partitionBy("i").orderBy("j").rowsBetween(-reach, reach)
+def fill_holes(grid: DataFrame, reach: int, least: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """Occupies empty cells whose neighbourhood (clamped at the border) is occupied to at least this share, within the columns ``by``."""
+    frame = W.partitionBy(*by, "i").orderBy("j").rowsBetween(-reach, reach)
     down = grid.withColumn("s", F.sum("occ").over(frame)).withColumn("c", F.count("*").over(frame))
-    across = W.partitionBy("j").orderBy("i").rowsBetween(-reach, reach)
+    across = W.partitionBy(*by, "j").orderBy("i").rowsBetween(-reach, reach)
     share = F.sum("s").over(across) / F.sum("c").over(across)
-    return down.withColumn("share", share).select("i", "j", "cx", "cy", F.when((F.col("occ") == 0) & (F.col("share") >= least), 1).otherwise(F.col("occ")).alias("occ"))
+    return down.withColumn("share", share).select(*by, "i", "j", "cx", "cy", F.when((F.col("occ") == 0) & (F.col("share") >= least), 1).otherwise(F.col("occ")).alias("occ"))
 
 
 def quotas(occupied: DataFrame, total: int) -> DataFrame:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config, Grouping, Sampling
 from ..functions import columns as c
-from ..operators import clustering, evaluation, hulls, neighbours, predictions, tiles, voxels
-from . import segmentation
+from ..functions.lineage import folder
+from ..operators import clustering, evaluation, hulls, neighbours, predictions, sampling, tiles, voxels
+from ..sources.tile_store import read_tiles, write_tiles
+from . import crops, segmentation
 from .forest import oracle, points, r
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -782,3 +786,121 @@ def wn3(p):
 @query("WN6", "SELECT id, rank, round_even((d2 + 3.1e-9) * 1e6, 0) / 1e6 AS d2 FROM knn", **NEAREST_PARTS)
 def wn6(p):
     return rounded(neighbours.knn(p.where("point_id % 20 = 0"), p.where("gt != -1"), 5, 0.6).select("id", F.col("rank").cast("bigint").alias("rank"), "d2"), "d2", digits=6)
+
+
+# --- random choices, crops, the tile store, inference over tiles ------------------------------------------------------------------
+
+
+def hashed_sql(digits: int, *keys: str) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws(':', {', '.join(keys)})), 1, {digits}) AS BIGINT)"
+
+
+def uniform_sql(*keys: str) -> str:
+    return f"(({hashed_sql(13, *keys)} + 5e-1) / {1 << 52}e0)"
+
+
+def normal_sql(*keys: str) -> str:
+    *first, counter = keys
+    return f"(sqrt(-2e0 * ln({uniform_sql(*first, counter)})) * cos(2 * pi() * {uniform_sql(*first, str(int(counter) + 1))}))"
+
+
+DRAWN = f"SELECT plot, draw, {hashed_sql(15, 'plot', 'draw')} % total AS pos FROM (SELECT unnest(range(5000)) AS draw), (SELECT plot, sum(1 + point_id % 3) AS total FROM points GROUP BY plot)"
+
+
+@query("SO5", "SELECT d.plot, draw, point_id FROM d JOIN s ON d.plot = s.plot AND pos >= above - w AND pos < above", d=DRAWN, s="SELECT plot, point_id, 1 + point_id % 3 AS w, sum(1 + point_id % 3) OVER (PARTITION BY plot ORDER BY point_id) AS above FROM points")
+def so5(p):
+    return sampling.draws(p, "plot", "point_id", 1 + F.col("point_id") % 3, F.lit(5000)).select("plot", "draw", "point_id")
+
+
+def augmented_sql() -> str:
+    t = "tree_key"
+
+    def coin(k: int, chance: str) -> str:
+        return f"{uniform_sql(t, str(k))} < {chance}"
+
+    moved = ", ".join(f"{c} + CASE WHEN {coin(1, '25e-2')} THEN greatest(-2e-1, least(2e-1, 1e-1 * {normal_sql(t, 'point_id', str(2 * k))})) ELSE 0e0 END AS {c}" for k, c in enumerate("xyz"))
+    scale = [f"CASE WHEN {coin(2, '5e-1')} THEN {low} + ({high} - {low}) * {uniform_sql(t, str(10 + k))} ELSE 1e0 END" for k, (low, high) in enumerate((("8e-1", "12e-1"), ("8e-1", "12e-1"), ("95e-2", "105e-2")))]
+    cells = ", ".join(f"({scale[i] if i == j else '0e0'}) + CASE WHEN {coin(3, '5e-1')} THEN 1e-1 ELSE 0e0 END * {normal_sql(t, str(20 + 2 * (3 * i + j)))} AS m{i}{j}" for i in range(3) for j in range(3))
+    flip = f"CASE WHEN {coin(4, '5e-1')} AND {uniform_sql(t, '50')} < 5e-1 THEN -1e0 ELSE 1e0 END AS flip, CASE WHEN {coin(5, '5e-1')} THEN 2 * pi() * {uniform_sql(t, '51')} ELSE 0e0 END AS a"
+    a, b, z = (f"(x * m0{j}{' * flip' if j == 0 else ''} + y * m1{j} + z * m2{j})" for j in range(3))
+    return f"SELECT tree_key, point_id, {r(f'{a} * cos(a) - {b} * sin(a)')} AS x, {r(f'{a} * sin(a) + {b} * cos(a)')} AS y, {r(z)} AS z FROM (SELECT tree_key, point_id, {moved} FROM points) JOIN (SELECT tree_key, {cells}, {flip} FROM (SELECT DISTINCT tree_key FROM points)) USING (tree_key)"
+
+
+@query("PJ14", augmented_sql())
+def pj14(p):
+    return rounded(sampling.augmented(p.select("tree_key", "point_id", "x", "y", "z"), "tree_key"), "x", "y", "z")
+
+
+CROP_PLAN = crops.Crops(total=60, size=10.0, lattice=12)
+PLOT_GRIDS = "SELECT *, (xmax - xmin) / nx AS rx, (ymax - ymin) / ny AS ry FROM (SELECT plot, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax, greatest(1, floor(max(x) - min(x))) AS nx, greatest(1, floor(max(y) - min(y))) AS ny FROM points GROUP BY plot)"
+PLOT_CELLS = """SELECT b.plot, i, j, xmin + (i + 5e-1) * rx AS cx, ymin + (j + 5e-1) * ry AS cy, CASE WHEN h THEN 1 ELSE 0 END AS occ FROM pg b JOIN (SELECT unnest(range(3000)) AS i) a ON i < nx JOIN (SELECT unnest(range(3000)) AS j) c ON j < ny
+  LEFT JOIN (SELECT DISTINCT true AS h, plot AS hp, CAST(ceil((x - xmin) / rx) - 1 AS BIGINT) AS hi, CAST(ceil((y - ymin) / ry) - 1 AS BIGINT) AS hj FROM points JOIN pg USING (plot) WHERE gt <> -1) q ON hp = b.plot AND hi = i AND hj = j"""
+PLOT_FILLED = "SELECT a.plot, a.i, a.j, a.cx, a.cy, CASE WHEN a.occ = 0 AND sum(b.occ) / count(*) >= 3e-1 THEN 1 ELSE a.occ END AS occ FROM pcells a JOIN pcells b ON a.plot = b.plot AND b.i BETWEEN a.i - 2 AND a.i + 2 AND b.j BETWEEN a.j - 2 AND a.j + 2 GROUP BY a.plot, a.i, a.j, a.cx, a.cy, a.occ"
+PLOT_CROPS = "SELECT plot, id AS crop, round_even((xmin + (id % 12) * ((xmax - xmin) / 11e0)) * 100e0, 0) / 100e0 AS cx, round_even((ymin + (id // 12) * ((ymax - ymin) / 11e0)) * 100e0, 0) / 100e0 AS cy, (id * 7919 + 13) % 360 AS angle FROM (SELECT unnest(range(144)) AS id), pg"
+
+
+def in_crops(rows: str, x: str, y: str, crops: str) -> str:
+    return f"SELECT * FROM (SELECT *, cos(radians(angle)) * ({x} - c.cx) + sin(radians(angle)) * ({y} - c.cy) AS u, cos(radians(angle)) * ({y} - c.cy) - sin(radians(angle)) * ({x} - c.cx) AS v FROM {rows} f JOIN {crops} c ON f.plot = c.plot AND abs({x} - c.cx) <= 8e0 AND abs({y} - c.cy) <= 8e0) WHERE greatest(abs(u), abs(v)) <= 5e0"
+
+
+CROP_PARTS = {
+    "pg": PLOT_GRIDS, "pcells": PLOT_CELLS, "pfilled": PLOT_FILLED, "pcrops": PLOT_CROPS, "covered": f"SELECT plot, crop FROM ({in_crops('pfilled', 'f.cx', 'f.cy', 'pcrops')}) GROUP BY plot, crop HAVING sum(occ) / 1e2 > 2e-1",
+    "quotas": "SELECT plot, CAST(q + CASE WHEN plot = max(plot) OVER () THEN 60 - sum(q) OVER () ELSE 0 END AS BIGINT) AS quota FROM (SELECT plot, CAST(round_even(n / (sum(n) OVER ()) * 60, 0) AS BIGINT) AS q FROM (SELECT plot, sum(occ) AS n FROM pfilled GROUP BY plot))",
+    "taken": f"SELECT plot, crop, cx, cy, angle FROM (SELECT *, row_number() OVER (PARTITION BY plot ORDER BY -ln({uniform_sql('plot', 'crop')}), crop) AS k FROM pcrops SEMI JOIN covered USING (plot, crop) JOIN quotas USING (plot)) WHERE k <= quota",
+}
+
+
+@query("TL2", "SELECT plot, crop, cx, cy, angle FROM taken", **CROP_PARTS)
+def tl2(p):
+    return crops.chosen_crops(p.withColumn("label", F.col("gt")), CROP_PLAN).select("plot", "crop", "cx", "cy", "angle")
+
+
+@query("TL4", f"SELECT plot, crop, point_id, {r('u', 3)} AS u, {r('v', 3)} AS v FROM ({in_crops('points', 'f.x', 'f.y', 'taken')})", **CROP_PARTS)
+def tl4(p):
+    return rounded(crops.training_crops(p.withColumn("label", F.col("gt")), CROP_PLAN).select("plot", "crop", "point_id", "u", "v"), "u", "v", digits=3)
+
+
+def store_of(p: DataFrame) -> DataFrame:
+    """The tiles of the plot, written as files and read back."""
+    path = f"{folder(p.sparkSession)}/tiles-{uuid.uuid4().hex}"
+    write_tiles(segmentation.generate_tiles(p, PLAN, "gt"), path)
+    return read_tiles(p.sparkSession, path)
+
+
+@query("SK6")
+def sk6(p):
+    return store_of(p).groupBy("col", "row").agg(F.count("*").alias("n"))
+
+
+@query("SC8")
+def sc8(p):
+    return store_of(p).where("col >= 3 and row < 5").groupBy("col", "row").agg(F.count("*").alias("n"))
+
+
+# the same tiles as TL3, of which the reader opens some
+ORACLE_SQL["SK6"] = ORACLE_SQL["TL3"]
+ORACLE_SQL["SC8"] = f"SELECT * FROM ({ORACLE_SQL['TL3']}) WHERE col >= 3 AND row < 5"
+
+
+@query("JN14", f"SELECT col, row, point_id, {r('f')} AS f FROM kk JOIN (SELECT col, row, vx, vy, vz, avg(x) FILTER (k <= 3) AS f FROM kk GROUP BY ALL) USING (col, row, vx, vy, vz)", g=GRID, t=TILES, kk="SELECT *, row_number() OVER (PARTITION BY col, row, vx, vy, vz ORDER BY point_id) AS k FROM (SELECT col, row, point_id, x, CAST(floor(x / 1e0) AS BIGINT) AS vx, CAST(floor(y / 1e0) AS BIGINT) AS vy, CAST(floor(z / 1e0) AS BIGINT) AS vz FROM points JOIN t ON x >= xlo AND x < xhi AND y > ylo AND y <= yhi)")
+def jn14(p):
+    placed = tiles.assign_tiles(p.select("point_id", "x", "y", "z"), grid_of(p))
+    features = predictions.occupied_voxels(placed, 1.0).select("col", "row", "vx", "vy", "vz", F.col("x").alias("f"))
+    return rounded(predictions.gather_features(placed, features, 1.0).select("col", "row", "point_id", "f"), "f")
+
+
+def height_predictor(part: pd.DataFrame) -> pd.DataFrame:
+    """Calls what is over two metres a tree, and fails on some tiles, as a model does that runs out of memory."""
+    if (part["col"].iloc[0] + part["row"].iloc[0]) % 5 == 0:
+        raise ValueError("no prediction")
+    high = (part["z"] > 2.0) * 4.0 - 2.0
+    return pd.DataFrame({"col": part["col"], "row": part["row"], "point_id": part["point_id"], "sem0": high, "sem1": -high})
+
+
+@query("MD5", "SELECT col, row, count(*) FILTER ((col + row) % 5 <> 0) AS n, coalesce(sum(CASE WHEN z > 2e0 THEN 1 ELSE 0 END) FILTER ((col + row) % 5 <> 0), 0) AS trees, CASE WHEN (col + row) % 5 = 0 THEN 'ValueError: no prediction' END AS error FROM points JOIN t ON x >= xlo AND x < xhi AND y > ylo AND y <= yhi GROUP BY col, row", g=GRID, t=TILES)
+def md5(p):
+    placed = tiles.assign_tiles(p.select("point_id", "x", "y", "z"), grid_of(p))
+    found, failed = predictions.predict_surviving(placed, height_predictor, "col bigint, row bigint, point_id bigint, sem0 double, sem1 double")
+    good = found.groupBy("col", "row").agg(F.count("*").alias("n"), F.count_if(F.col("sem0") > F.col("sem1")).alias("trees"), F.lit(None).cast("string").alias("error"))
+    zero = F.lit(0).cast("bigint")
+    return good.unionByName(failed.select("col", "row", zero.alias("n"), zero.alias("trees"), "error"))
