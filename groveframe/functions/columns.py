@@ -90,16 +90,12 @@ def inside_ring(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column
     return F.when(x.isNotNull() & y.isNotNull(), F.aggregate(F.element_at(edge_array(bands, nested=True), band), start, seen, lambda s: s.odd & ~s.border))
 
 
-def ring_distance(x: Column, y: Column, ring: list[tuple[float, float]]) -> Column:
-    """Distance of a point from the boundary of a polygon."""
-
-    def nearer(best: Column, e: Column) -> Column:
-        dx, dy = e.bx - e.ax, e.by - e.ay
-        size = dx * dx + dy * dy
-        t = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - e.ax) * dx + (y - e.ay) * dy) / size))).otherwise(0.0)
-        return F.least(best, F.pow(x - (e.ax + t * dx), 2.0) + F.pow(y - (e.ay + t * dy), 2.0))
-
-    return F.when(x.isNotNull() & y.isNotNull(), F.sqrt(F.aggregate(edge_array(edges_of(ring)), F.lit(float("inf")), nearer)))
+def segment_distance(x: Column, y: Column, e: Column) -> Column:
+    """Squared distance of a point from an edge (ax, ay, bx, by)."""
+    dx, dy = e.bx - e.ax, e.by - e.ay
+    size = dx * dx + dy * dy
+    t = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - e.ax) * dx + (y - e.ay) * dy) / size))).otherwise(0.0)
+    return F.pow(x - (e.ax + t * dx), 2.0) + F.pow(y - (e.ay + t * dy), 2.0)
 
 
 def with_verticality(df: DataFrame) -> DataFrame:
