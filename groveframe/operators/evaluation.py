@@ -159,25 +159,54 @@ def tree_metrics(pairs: DataFrame, best: DataFrame, sizes: DataFrame) -> DataFra
 def partition_metrics(points: DataFrame, best: DataFrame, axis: str, bins: int = 10) -> DataFrame:
     """(gt, bin, prec, rec, iou) by distance from the tree position (axis xy) or by height (axis z), relative to the fifth largest.
 
-    Only points of the tree or of its prediction count, so two equi-joins reach them; no pair of tree and foreign point is made.
+    Points of the tree and points of its prediction count. Many trees may have chosen one prediction, so its points are not
+    joined with all of them: heights are counted before they meet the trees, and by distance a point meets only the trees whose
+    circle its cell touches.
     """
     trees = points.where("gt > 0")
     names = best.select("gt", F.col("pred").alias("p"))
-    own = points.join(names, "gt").select("gt", "x", "y", "z", (F.col("pred") == F.col("p")).alias("in_pred"), F.lit(True).alias("in_gt"))
-    foreign = points.withColumnRenamed("gt", "g").join(names.where("p > 0"), F.col("pred") == F.col("p")).where("g != gt").select("gt", "x", "y", "z", F.lit(True).alias("in_pred"), F.lit(False).alias("in_gt"))
-    seen = own.unionByName(foreign)
     if axis == "xy":
         at = evaluation_positions(trees)
-        measured = trees.join(at, "gt").select("gt", "point_id", distance().alias("z"))
-        scale = kth_height(measured, 5, largest=True).select("gt", F.col("kth").alias("far"))
-        placed = seen.join(at, "gt").join(scale, "gt").withColumn("share", distance() / F.col("far"))
+        far = kth_height(trees.join(at, "gt").select("gt", "point_id", distance().alias("z")), 5, largest=True)
+        circles = cut(names.join(at, "gt").join(far.select("gt", F.col("kth").alias("far")), "gt").where("far > 0"))
+        own = points.join(circles, "gt").select("gt", "far", distance().alias("at"), F.when(F.col("pred") == F.col("p"), 1).otherwise(0).alias("tp"), F.lit(0).alias("fp"), F.when(F.col("pred") != F.col("p"), 1).otherwise(0).alias("fn"))
+        seen = own.unionByName(foreign_in_circles(points, circles.where("p > 0")))
     else:
         low = trees.groupBy("gt").agg(F.min("z").alias("zmin"))
-        scale = kth_height(trees, 5, largest=True).select("gt", F.col("kth").alias("far"))
-        placed = seen.join(low, "gt").join(scale, "gt").withColumn("share", (F.col("z") - F.col("zmin")) / (F.col("far") - F.col("zmin")))
-    binned = placed.where("share >= 0 and share < 1").withColumn("bin", F.floor(F.col("share") * bins).cast("bigint"))
-    tp, fp, fn = F.count_if(F.col("in_gt") & F.col("in_pred")), F.count_if(~F.col("in_gt")), F.count_if(~F.col("in_pred"))
-    return binned.groupBy("gt", "bin").agg(ratio(tp, tp + fp).alias("prec"), ratio(tp, tp + fn).alias("rec"), ratio(tp, tp + fp + fn).alias("iou"))
+        scale = names.join(low, "gt").join(kth_height(trees, 5, largest=True).select("gt", F.col("kth").alias("top")), "gt")
+        scale = scale.select("gt", "p", "zmin", (F.col("top") - F.col("zmin")).alias("far")).where("far > 0")
+        heights = points.where("gt is not null").groupBy("pred", "gt", "z").agg(F.count("*").alias("n"))
+        # what a prediction holds at a height, less what of it is the tree's own, is foreign
+        whole = heights.groupBy("pred", "z").agg(F.sum("n").alias("n")).join(scale.where("p > 0"), F.col("pred") == F.col("p"))
+        own, none = heights.join(scale, "gt"), F.lit(0).cast("bigint")
+        same = F.when(F.col("pred") == F.col("p"), F.col("n")).otherwise(none)
+        rows = own.select("gt", "far", "zmin", "z", same.alias("tp"), F.when(F.col("p") > 0, -same).otherwise(none).alias("fp"), F.when(F.col("pred") != F.col("p"), F.col("n")).otherwise(none).alias("fn"))
+        rows = rows.unionByName(whole.select("gt", "far", "zmin", "z", none.alias("tp"), F.col("n").alias("fp"), none.alias("fn")))
+        seen = rows.withColumn("at", F.col("z") - F.col("zmin"))
+    placed = seen.withColumn("share", F.col("at") / F.col("far")).where("share >= 0 and share < 1")
+    counts = placed.groupBy("gt", F.floor(F.col("share") * bins).cast("bigint").alias("bin")).agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return counts.select("gt", "bin", ratio(tp, tp + fp).alias("prec"), ratio(tp, tp + fn).alias("rec"), ratio(tp, tp + fp + fn).alias("iou"))
+
+
+def foreign_in_circles(points: DataFrame, circles: DataFrame) -> DataFrame:
+    """(gt, far, at, tp, fp, fn) of the points of other trees that lie in the circle of a tree and in the prediction it chose.
+
+    A circle lies in at most four cells twice to four times its radius wide; a point goes to one cell of each width that occurs
+    (powers of two, so there are few) and meets the circles of its prediction there: not all trees that chose it, but those near it.
+    """
+    width = F.greatest(F.lit(-3), F.least(F.lit(1020), F.ceil(F.log2("far")) + 1)).cast("int")
+    wide = circles.withColumn("w", width)
+    widths = [r["w"] for r in wide.select("w").distinct().collect()]  # one for each power of two at most
+    size = F.pow(F.lit(2.0), F.col("w"))
+    touched = wide
+    for c in "xy":
+        reach = F.col("far") * (1 + 1e-9) + F.abs(f"p{c}") * 1e-12
+        touched = touched.withColumn(f"c{c}", F.explode(F.sequence(F.floor((F.col(f"p{c}") - reach) / size), F.floor((F.col(f"p{c}") + reach) / size))))
+    placed = points.where("gt is not null and pred > 0").select("x", "y", F.col("gt").alias("g"), F.col("pred").alias("p"), F.explode(F.lit(widths).cast("array<int>")).alias("w"))
+    placed = placed.withColumns({f"c{c}": F.floor(F.col(c) / size) for c in "xy"})
+    met = placed.join(touched, ["p", "w", "cx", "cy"]).where("g != gt").select("gt", "far", distance().alias("at"))
+    return met.where("at < far").select("*", F.lit(0).alias("tp"), F.lit(1).alias("fp"), F.lit(0).alias("fn"))
 
 
 def distance():

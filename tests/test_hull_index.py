@@ -94,3 +94,50 @@ def test_archives_are_unpacked_once(tmp_path, monkeypatch):
         assert (rows[["x", "y", "z"]].to_numpy() == points).all() and (rows["point_id"].to_numpy() == labels).all()
         assert (rows["label"].to_numpy() == (labels if "npz" in name else -1)).all()
     assert sum(read) == 3 * points.nbytes + 2 * labels.nbytes  # nothing is unpacked to be passed over
+
+
+def plain_metrics(rows, best, axis, bins=10):
+    """Counts by looking at every point for every tree."""
+    trees = {g: [r for r in rows if r[5] == g] for g in best}
+    out = {}
+    for g, p in best.items():
+        low = min(r[3] for r in trees[g])
+        base = [r for r in trees[g] if r[3] < low + 0.3]
+        px, py = np.mean([r[1] for r in base]), np.mean([r[2] for r in base])
+        at = (lambda r, px=px, py=py: math.hypot(r[1] - px, r[2] - py)) if axis == "xy" else lambda r, low=low: r[3] - low
+        far = sorted(map(at, trees[g]))[-5:][0] if len(trees[g]) > 4 else 0
+        for r in rows:
+            if far > 0 and (r[5] == g or (r[4] == p and p > 0)) and 0 <= at(r) / far < 1:
+                n = out.setdefault((g, math.floor(at(r) / far * bins)), [0, 0, 0])
+                n[0 if r[5] == g and r[4] == p else 1 if r[5] != g else 2] += 1
+    return out
+
+
+@pytest.mark.parametrize("axis", ["xy", "z"])
+def test_bins_of_trees_that_share_a_prediction(spark, axis):
+    rng = np.random.default_rng(8)
+    gt = rng.integers(0, 30, 1500)
+    # one prediction swallowed two thirds of all trees; tree 7 has its points in one place, tree 9 reaches far out
+    pred = np.where(rng.random(1500) < 0.1, rng.integers(0, 5, 1500), np.where(gt % 3 == 0, gt, 99))
+    x, y = gt % 6 * 3.0 + rng.normal(0, 0.8, 1500), gt // 6 * 3.0 + rng.normal(0, 0.8, 1500)
+    x, y, z = np.where(gt == 7, 3.0, np.where(gt == 9, x * 40, x)), np.where(gt == 7, 3.0, y), np.where(gt == 7, 1.0, np.round(rng.uniform(0, 20, 1500), 1))
+    rows = [(i, float(x[i]), float(y[i]), float(z[i]), int(pred[i]), int(gt[i])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "point_id bigint, x double, y double, z double, pred bigint, gt bigint")
+    best = {int(g): 99 if g % 3 else int(g) for g in range(1, 30)} | {5: 0}
+    got = evaluation.partition_metrics(df, spark.createDataFrame(list(best.items()), "gt bigint, pred bigint"), axis).collect()
+    want = plain_metrics(rows, best, axis)
+    assert {(r.gt, r.bin) for r in got} == set(want)
+    for r in got:
+        tp, fp, fn = want[r.gt, r.bin]
+        for value, a, b in ((r.prec, tp, tp + fp), (r.rec, tp, tp + fn), (r.iou, tp, tp + fp + fn)):
+            assert value is None if b == 0 else math.isclose(value, a / b)
+
+
+def test_points_meet_the_trees_near_them(spark):
+    """A prediction that 400 trees chose: pairs of points and circles grow with the trees, not with their square."""
+    rows = [(i, i % 20 * 4 + math.cos(k), i // 20 * 4 + math.sin(k), float(k), 1, i + 1) for i in range(400) for k in range(10)]
+    df = spark.createDataFrame([(n, *r[1:]) for n, r in enumerate(rows)], "point_id bigint, x double, y double, z double, pred bigint, gt bigint")
+    circles = spark.createDataFrame([(i + 1, 1, i % 20 * 4.0, i // 20 * 4.0, 1.01) for i in range(400)], "gt bigint, p bigint, px double, py double, far double")
+    met = evaluation.foreign_in_circles(df, circles)
+    assert met.count() == 0 and evaluation.foreign_in_circles(df, circles.withColumn("far", F.lit(4.5))).count() < 400 * 10 * 9
+    assert evaluation.foreign_in_circles(df, circles.limit(0)).count() == 0
