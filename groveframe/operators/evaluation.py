@@ -192,12 +192,12 @@ def partition_metrics(points: DataFrame, best: DataFrame, axis: str, bins: int =
 def foreign_in_circles(points: DataFrame, circles: DataFrame) -> DataFrame:
     """(gt, far, at, tp, fp, fn) of the points of other trees that lie in the circle of a tree and in the prediction it chose.
 
-    A circle lies in at most four cells twice to four times its radius wide; a point goes to one cell of each width that occurs
-    (powers of two, so there are few) and meets the circles of its prediction there: not all trees that chose it, but those near it.
+    A circle lies in at most four cells twice to eight times its radius wide; a point goes to one cell of each width that occurs
+    (powers of four, so there are few) and meets the circles of its prediction there: not all trees that chose it, but those near it.
     """
-    width = F.greatest(F.lit(-3), F.least(F.lit(1020), F.ceil(F.log2("far")) + 1)).cast("int")
+    width = (2 * F.greatest(F.lit(-1), F.least(F.lit(510), F.ceil((F.log2("far") + 1) / 2)))).cast("int")
     wide = circles.withColumn("w", width)
-    widths = [r["w"] for r in wide.select("w").distinct().collect()]  # one for each power of two at most
+    widths = [r["w"] for r in wide.select("w").distinct().collect()]  # one for each power of four at most
     size = F.pow(F.lit(2.0), F.col("w"))
     touched = wide
     for c in "xy":

@@ -57,7 +57,7 @@ def test_cells_in_doubt_with_many_points(spark, near):
     assert (got[:20_000] == 1).all() and (got[20_000:] == (1 if near else 2)).all()
 
 
-@pytest.mark.parametrize("few", [0, 10_000])
+@pytest.mark.parametrize("few", [0, 250_000])
 def test_pairs_by_parts_equal_pairs_by_points(spark, few):
     """Random cells, ties at the very distance, repeated points; with few = 0 every pair is divided."""
     rng = np.random.default_rng(12)
