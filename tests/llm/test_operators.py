@@ -681,6 +681,38 @@ def test_every_place_of_a_passage_counts(spark):
     assert runs and runs[0][3] == 3 and runs[0][2] - runs[0][1] >= 140
 
 
+def numbered_words(*parts):
+    return " ".join(f"{name}{i}" for name, a, b in parts for i in range(a, b))
+
+
+def test_passages_that_earlier_documents_quote_in_fragments(spark):
+    """Two whole copies among fragments before and between them, of 22 and of 46 words, and copies of the least length."""
+    pieces = [(0, 22), (19, 41), (38, 60), (0, 46), (9, 55), (14, 60)]
+    rows = [(i, numbered_words((f"u{i}x", 0, 30), ("p", a, b), (f"v{i}x", 0, 30))) for i, (a, b) in enumerate(pieces)]
+    rows += [(20 + i, t.replace(f"u{i}x", f"y{i}x").replace(f"v{i}x", f"z{i}x")) for i, t in rows]
+    rows += [(10, numbered_words(("a", 0, 40), ("p", 0, 60), ("b", 0, 40))), (30, numbered_words(("c", 0, 50), ("p", 0, 60), ("d", 0, 20)))]
+    rows += [(40, numbered_words(("e", 0, 20), ("q", 0, 50))), (41, numbered_words(("q", 0, 50), ("f", 0, 20))), (42, numbered_words(("g", 0, 20), ("q", 0, 49), ("h", 0, 20)))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.start_word, r.end_word, r.repeats_doc_id, r.repeats_start, r.repeats_end, r.identity) for r in got} == {(30, 50, 110, 10, 40, 100, 1.0), (41, 0, 50, 40, 20, 70, 1.0)}
+
+
+def test_passages_leave_no_run_of_fifty_words(documents):
+    """Every run of 50 words that an earlier document has lies in a reported passage, but for single words at its ends."""
+    rows = documents.select("doc_id", "text").collect()
+    first, runs = {}, {}
+    for r in sorted((r for r in rows if r.doc_id is not None), key=lambda r: r.doc_id):
+        words = (r.text or "").encode().lower().split()
+        for i in range(len(words) - 49):
+            run = tuple(words[i : i + 50])
+            if first.setdefault(run, r.doc_id) != r.doc_id:
+                runs.setdefault(r.doc_id, set()).add(i)
+    held = {}
+    for r in passages.repeated_passages(documents).collect():
+        held.setdefault(r.doc_id, []).append((r.start_word, r.end_word))
+    total, missed = sum(map(len, runs.values())), [(d, i) for d, at in runs.items() for i in at if not any(a <= i + 25 < b for a, b in held.get(d, []))]
+    assert total > 0 and not missed
+
+
 def test_passages_brute_force(documents):
     """Every document with 60 equal words in a row in another one is found, and what is found is at least as alike as it says."""
     texts = {r.doc_id: (r.text or "").encode().lower().split() for r in documents.collect()}
