@@ -101,30 +101,86 @@ def assign(edges: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
     return [(r, c, weight[r, c]) for r, c in sorted(col_of.items())]
 
 
-def match_trees(pairs: DataFrame, min_iou: float = 0.5) -> DataFrame:
-    """(pred, gt, iou) of the assignment with the largest total IoU, above the threshold.
+#: Overlaps left after the first round up to which components are solved as they are, and the part a further round must take off.
+MOST_OVERLAPS, LEAST_PROGRESS = 200_000, 0.01
+
+
+def settled_pairs(edges: DataFrame) -> DataFrame:
+    """Pairs (a, b) of edges (a, b, w) that belong to an assignment of the largest total: heaviest of both ends, and no lighter than
+    the best other edge of one end and of the other together."""
+    by = {k: W.partitionBy(k).orderBy(F.desc("w"), o) for k, o in (("a", "b"), ("b", "a"))}
+    ranked = edges.withColumns({f"{k}_{n}": v for k, o in by.items() for n, v in (("place", F.row_number().over(o)), ("next", F.coalesce(F.lead("w").over(o), F.lit(0.0))))})
+    return ranked.where("a_place = 1 and b_place = 1 and w >= a_next + b_next").select("a", "b")
+
+
+def without(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges that touch none of the nodes; the two ends of an edge never share a number."""
+    return edges.join(nodes.select(F.col("node").alias("a")), "a", "left_anti").join(nodes.select(F.col("node").alias("b")), "b", "left_anti")
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
 
-    A pair that is the heaviest of both its trees belongs to an assignment of the largest total if it outweighs the best other
-    pair of one tree and of the other together; such pairs are settled in windows first, and what they rule out goes with them.
-    Trees of different overlap components do not influence each other, so each component of the rest is solved on its own, as a
-    list of edges.
+def fold_leaves(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Takes off all nodes of one edge: (hub, leaf), the heaviest leaf of each hub, and the edges that are left.
+
+    A hub takes that leaf unless another edge is worth more, so its other edges count only for what they add to the leaf's weight;
+    those that add nothing go. An assignment of the largest total of what is left, with the leaf for each hub that it leaves
+    without a partner, is one of the whole.
+    """
+    halves = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other"), "w"), F.struct(F.col("b").alias("node"), F.col("a").alias("other"), "w"))).alias("h")).select("h.*")
+    leaves = halves.groupBy("node").agg(F.count("*").alias("n"), F.first("other").alias("hub"), F.first("w").alias("w")).where("n = 1").drop("n")
+    hubs = cut(leaves.groupBy("hub").agg(F.max_by("node", F.struct("w", -F.col("node"))).alias("leaf"), F.max("w").alias("less")))
+    inner = without(edges, leaves.select("node"))
+    for end in ("a", "b"):
+        inner = inner.join(hubs.select(F.col("hub").alias(end), F.col("less").alias(f"less_{end}")), end, "left")
+    rest = inner.select("a", "b", (F.col("w") - F.coalesce("less_a", F.lit(0.0)) - F.coalesce("less_b", F.lit(0.0))).alias("w")).where("w > 0")
+    return hubs.select("hub", "leaf"), rest
+
+
+def best_assignment(edges: DataFrame, most: int) -> DataFrame:
+    """Pairs (a, b) of an assignment of the largest total weight of edges (a, b, w > 0), where all a > 0 > b.
+
+    While more than ``most`` edges are left, rounds over all of them settle sure pairs and fold leaves, both without a loss, as
+    long as a round takes off a hundredth: chains and trees of overlaps vanish, cycles stay. What is left is solved as a list of
+    edges per component. The folds are then undone in reverse: each hub without a partner takes its leaf.
     """
-    rest = pairs.where("iou > 0").select("pred", "gt", "iou")
-    by = {k: W.partitionBy(k).orderBy(F.desc("iou"), o) for k, o in (("pred", "gt"), ("gt", "pred"))}
-    ranked = rest.withColumns({f"{k}_{n}": v for k, o in by.items() for n, v in (("place", F.row_number().over(o)), ("next", F.coalesce(F.lead("iou").over(o), F.lit(0.0))))})
-    sure = cut(ranked.where("pred_place = 1 and gt_place = 1 and iou >= pred_next + gt_next").select("pred", "gt", "iou"))
-    rest = cut(rest.join(sure.select("pred"), "pred", "left_anti").join(sure.select("gt"), "gt", "left_anti"))
-    settled = sure.where(F.col("iou") > min_iou)
-    if rest.isEmpty():
-        return settled
-    roots = components(rest.select(F.col("pred").alias("a"), (-F.col("gt")).alias("b")))
+    rounds, left = [], edges.count()
+    while left > most:
+        sure = cut(settled_pairs(edges))
+        folds, rest = fold_leaves(without(edges, ends_of(sure)))
+        edges, before = cut(rest), left
+        rounds.append((sure, folds))
+        left = edges.count()
+        if before - left < LEAST_PROGRESS * before:
+            break
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
-        found = assign(list(zip(part["pred"].tolist(), part["gt"].tolist(), part["iou"].tolist(), strict=True)))
-        return pd.DataFrame([x for x in found if x[2] > min_iou], columns=["pred", "gt", "iou"])
+        return pd.DataFrame([x[:2] for x in assign(list(zip(part["a"].tolist(), part["b"].tolist(), part["w"].tolist(), strict=True)))], columns=["a", "b"])
+
+    pairs = edges.select("a", "b").limit(0)
+    if left:
+        roots = components(edges.select("a", "b")).withColumnRenamed("node", "a")
+        pairs = cut(edges.join(roots, "a").groupBy("root").applyInPandas(solve, "a bigint, b bigint"))
+    for sure, folds in reversed(rounds):
+        pairs = pairs.unionByName(sure)
+        free = folds.join(ends_of(pairs).withColumnRenamed("node", "hub"), "hub", "left_anti")
+        pairs = cut(pairs.unionByName(free.select(F.greatest("hub", "leaf").alias("a"), F.least("hub", "leaf").alias("b"))))
+    return pairs
+
 
-    parts = rest.join(roots.withColumnRenamed("node", "pred"), "pred").groupBy("root").applyInPandas(solve, "pred bigint, gt bigint, iou double")
-    return settled.unionByName(parts)
+def match_trees(pairs: DataFrame, min_iou: float = 0.5, most: int = MOST_OVERLAPS) -> DataFrame:
+    """(pred, gt, iou) of the assignment with the largest total IoU, above the threshold.
+
+    Pairs that outweigh all that competes are settled in windows first, and what they rule out goes with them; the rest goes to
+    ``best_assignment``.
+    """
+    edges = cut(pairs.where("iou > 0").select(F.col("pred").cast("bigint").alias("a"), (-F.col("gt").cast("bigint")).alias("b"), F.col("iou").alias("w")))
+    sure = cut(settled_pairs(edges))
+    rest = cut(without(edges, ends_of(sure)))
+    found = sure if rest.isEmpty() else sure.unionByName(best_assignment(rest, most))
+    return edges.where(F.col("w") > min_iou).join(found, ["a", "b"], "left_semi").select(F.col("a").alias("pred"), (-F.col("b")).alias("gt"), F.col("w").alias("iou"))
 
 
 def detection_summary(matched: DataFrame, pairs: DataFrame, preds: DataFrame, gts: DataFrame, min_precision: float = 0.5) -> DataFrame:

@@ -254,6 +254,28 @@ def test_matching_brute_force(spark):
     assert math.isclose(got, max(sum(w[i, p[i]] for i in range(7)) for p in itertools.permutations(range(7))))
 
 
+@pytest.mark.parametrize("shape", ["chain", "tree", "ladder", "rising"])
+def test_matching_of_one_large_component(spark, monkeypatch, shape):
+    """Rounds that settle and fold give the total of the list solution, though no component is small enough to be solved as it is."""
+    rng = np.random.default_rng(29)
+    if shape == "chain":
+        edges = {(i // 2 + i % 2 + 1, i // 2 + 1): rng.random() for i in range(400)}
+    elif shape == "tree":
+        edges = {(i + 1, int(rng.integers(max(0, i - 3), i + 1)) + 1): rng.random() for i in range(150)} | {(int(rng.integers(0, i + 1)) + 1, i + 2): rng.random() for i in range(150)}
+    elif shape == "ladder":
+        edges = {(i + 1, j + 1): rng.random() for i in range(60) for j in (i, (i + 1) % 60, (i + 7) % 60)}
+    else:
+        edges = {(i // 2 + i % 2 + 1, i // 2 + 1): 0.01 * (i + 1) for i in range(20)}
+    solved = []
+    real = evaluation.components
+    monkeypatch.setattr(evaluation, "components", lambda e: solved.append(e.count()) or real(e))
+    pairs = spark.createDataFrame([(p, g, float(w)) for (p, g), w in edges.items()], "pred bigint, gt bigint, iou double")
+    got = evaluation.match_trees(pairs, 0.0, most=0).collect()
+    assert len({r.pred for r in got}) == len({r.gt for r in got}) == len(got) and all(edges[r.pred, r.gt] == r.iou for r in got)
+    assert math.isclose(sum(r.iou for r in got), sum(x for _, _, x in evaluation.assign([(p, g, float(w)) for (p, g), w in edges.items()])))
+    assert shape == "ladder" or not solved  # without cycles nothing is left to a task
+
+
 def test_ring_of_many_edges(spark):
     ring = [((5 + math.sin(7 * t)) * math.cos(t), (5 + math.sin(7 * t)) * math.sin(t)) for t in np.linspace(0, 2 * math.pi, 1200, endpoint=False)]
     rng = np.random.default_rng(24)
