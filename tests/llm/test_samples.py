@@ -40,3 +40,9 @@ def test_language_model_sample_of_rows_without_ids(spark, monkeypatch):
     monkeypatch.setattr(language_model.Speller, "read", read)
     language_model.learn(docs.select("doc_id", "text", F.lit(False).alias("held_out")), counts, path, steps=1)
     assert 20 < drawn["n"] < 400
+
+
+def test_language_model_sample_grows_with_the_corpus():
+    sizes = [language_model.sample_size(10**k) for k in range(3, 15)]
+    assert sizes[:4] == [10**3, 10**4, 10**5, 10**6]
+    assert all(a < b for a, b in zip(sizes, sizes[1:], strict=False)) and sizes[-1] < 100_000_000
