@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fraction_of, table
+from .common import fraction_of, table, use_only
 
 SAMPLE_CHARS, SAMPLE_DOCS, MAX_LANGUAGES = 20_000, 60, 512
 #: Letters with a symbol of their own, and symbols that all further letters share by code point.
@@ -225,6 +225,7 @@ def identify(docs: DataFrame, samples: dict[str, str], text_col: str = "text", k
     sent = docs.sparkSession.sparkContext.broadcast(samples)  # bounded: about SAMPLE_CHARS a language
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_only()
         parser = CrossParser(sent.value)  # gone with the task: workers go on to other stages
         for batch in batches:
             lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)

@@ -7,6 +7,8 @@ from itertools import chain, pairwise
 
 import numpy as np
 
+from .common import kept_table, use_only
+
 #: Words and word pieces that a worker keeps; beyond it the table starts anew.
 CACHED = 1_200_000
 
@@ -82,11 +84,12 @@ class ByteLevelEncoder:
         return out
 
 
-_ENCODERS: dict[tuple[str, int], ByteLevelEncoder] = {}
+_ENCODERS: dict[tuple[str, int], ByteLevelEncoder] = kept_table("encoders", {})
 
 
 def encoder_of(path: str, end_id: int) -> ByteLevelEncoder:
     """The encoder of a file, made once in a worker, with ids of two bytes where they suffice."""
+    use_only("encoders")
     if (path, end_id) not in _ENCODERS:
         made = _ENCODERS[path, end_id] = ByteLevelEncoder(path)
         made.dtype = np.dtype("<u2" if max(made.tokenizer.get_vocab_size(True), end_id + 1) <= 1 << 16 else "<u4")

@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from groveframe.llm import shingle_join
+from groveframe.llm import common, shingle_join, subwords
 
 from .test_operators import brute_components, joined
 
@@ -41,3 +41,16 @@ def test_families_of_short_texts(spark, monkeypatch):
     rng.shuffle(texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert joined(docs) == sorted(brute_components(docs.collect()), key=str)
+
+
+def test_workers_keep_only_the_tables_of_their_work():
+    """A token stage leaves its words in a reused worker; the next stage's tasks empty them, and the other way round."""
+    import public_tokenizers
+
+    encoder = subwords.encoder_of(public_tokenizers.path("byte_bpe_50k.json"), 2)
+    encoder.encode(["some words of a text"])
+    shingle_join.shingle_sets(["some words of a text"])
+    common.use_only("words")
+    assert shingle_join._WORDS and not subwords._ENCODERS
+    subwords.encoder_of(public_tokenizers.path("byte_bpe_50k.json"), 2)
+    assert subwords._ENCODERS and not shingle_join._WORDS
