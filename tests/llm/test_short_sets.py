@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from groveframe.llm import common, shingle_join, subwords
 
@@ -43,6 +45,27 @@ def test_families_of_short_texts(spark, monkeypatch):
     assert joined(docs) == sorted(brute_components(docs.collect()), key=str)
 
 
+def test_each_class_leaves_out_its_most_frequent_words(spark):
+    """Near copies with more common words than they have to spare leave out some of them, and any two that link still share a kept one."""
+    rng, base = random.Random(6), [f"b{i}" for i in range(70)]
+    texts = [" ".join(w if rng.random() < 0.97 else f"e{k}x{i}" for i, w in enumerate(base)) for k in range(40)]
+    sets, names = shingle_join.shingle_sets(texts), shingle_join.ClassNames()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    live = shingle_join.key_rows(docs, names).distinct()
+    live = live.join(live.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key").withColumn("root", F.col("c"))
+    kept, before = {}, {}
+    for out, rows in ((before, live), (kept, shingle_join.kept_words(live, shingle_join.summaries(docs, names)))):
+        for r in rows.collect():
+            out.setdefault(r.c, set()).add(r.key)
+    assert sum(map(len, kept.values())) < sum(map(len, before.values()))
+    of, linked = [names(s)[0] for s in sets], 0
+    for i, j in combinations(range(len(texts)), 2):
+        if of[i] != of[j] and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j])):
+            linked += 1
+            assert kept[of[i]] & kept[of[j]]
+    assert linked > 20
+
+
 def test_workers_keep_only_the_tables_of_their_work():
     """A token stage leaves its words in a reused worker; the next stage's tasks empty them, and the other way round."""
     import public_tokenizers
