@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from groveframe.llm import language_model, languages
+from groveframe.llm import attention_model, language_model, languages
 
-from .test_operators import words
+from .test_operators import RANKS, words
 
 
 def hot_docs(spark, n=4000):
@@ -46,3 +47,25 @@ def test_language_model_sample_grows_with_the_corpus():
     sizes = [language_model.sample_size(10**k) for k in range(3, 15)]
     assert sizes[:4] == [10**3, 10**4, 10**5, 10**6]
     assert all(a < b for a, b in zip(sizes, sizes[1:], strict=False)) and sizes[-1] < 100_000_000
+
+
+def test_attention_goes_through_every_training_document(spark, monkeypatch):
+    """Beyond the sample it starts from, each task's documents move the parameters: the mean over tasks, weighed by windows, of plain passes."""
+    monkeypatch.setattr(language_model, "TRAIN_SUBWORDS", 50)
+    texts = [[" ".join(words(40 + 30 * i, 70 + 20 * k + i)) for i in range(9)] for k in range(2)]
+    parts = [spark.createDataFrame([(9 * k + i, t) for i, t in enumerate(part)], "doc_id long, text string").coalesce(1).sortWithinPartitions("doc_id") for k, part in enumerate(texts)]
+    training = parts[0].unionByName(parts[1])
+    model = language_model.learn(training, language_model.corpus_counts(training.select("text"), RANKS), RANKS, 3)
+    start, learned = model.parameters, []
+    for part in texts:
+        learner = attention_model.Learner(start)
+        sequence = model.texts(language_model.speller(RANKS).read(pa.array(part)), len(part))
+        n = learner.go_through(sequence, model.prior_without(sequence), seed=0)
+        assert n == len(attention_model.windows(sequence.lengths).at)
+        learned.append((n, learner.p))
+    language_model.go_through(model, training, RANKS)
+    for k, got in model.parameters.items():
+        expected = sum(n * p[k] for n, p in learned) / sum(n for n, _ in learned)
+        # Adam makes steps of gradients that are next to nothing, where the order of sums shows
+        assert np.abs(got - expected).mean() <= 0.05 * np.abs(expected - start[k]).mean()
+    assert not np.allclose(model.parameters["U"], start["U"], atol=1e-4)
