@@ -52,9 +52,10 @@ def test_language_model_sample_grows_with_the_corpus():
 def test_attention_goes_through_every_training_document(spark, monkeypatch):
     """Beyond the sample it starts from, each task's documents move the parameters: the mean over tasks, weighed by windows, of plain passes."""
     monkeypatch.setattr(language_model, "TRAIN_SUBWORDS", 50)
-    texts = [[" ".join(words(40 + 30 * i, 70 + 20 * k + i)) for i in range(9)] for k in range(2)]
-    parts = [spark.createDataFrame([(9 * k + i, t) for i, t in enumerate(part)], "doc_id long, text string").coalesce(1).sortWithinPartitions("doc_id") for k, part in enumerate(texts)]
-    training = parts[0].unionByName(parts[1])
+    rows = [(i, " ".join(words(40 + 20 * i, 70 + i))) for i in range(18)]
+    training = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(2, "doc_id").sortWithinPartitions("doc_id")
+    texts = [[r.text for r in part] for part in training.rdd.glom().collect()]
+    assert len(texts) == 2 and all(texts)
     model = language_model.learn(training, language_model.corpus_counts(training.select("text"), RANKS), RANKS, 3)
     start, learned = model.parameters, []
     for part in texts:
