@@ -9,7 +9,10 @@ Earlier documents may quote a passage in fragments, each too short to report, so
 copy. So seeds that no reported passage covers are looked at again: where another document has the same ``WIDE`` words from a seed
 on, all runs of ``LEAST_WORDS`` words around it are matched with the first document that has the run. A run is a whole passage, no
 fragment has one, and any ``LEAST_WORDS`` equal words hold a seed with ``WIDE`` words after it: none is missed, in linear work.
-Edited copies without such a run are found by the first way only.
+
+Edited copies may have no such run. So seeds that are still open are looked up in pairs, ``NEAR`` to ``MOST_GAP`` words apart, with the
+first document that has both: fragments have no two seeds so far apart. What is found only by seeds nearer to each other than
+that, or whose pairs all come first in another document that has no passage there, is not.
 
 All places of a seed in a document count: each is matched with the first place in the other document, and the n-th place that
 is clear of the ones before it also with the n-th there, so a run of one word, in which all seeds are equal, makes a chain.
@@ -40,6 +43,8 @@ from .shingle_join import _WORDS, lists, mix
 
 K, SPAN = 6, 10
 GAP_COST, MOST_GAP, LEAST_CHAIN = 0.1, 100, 10.0
+#: Least distance of two seeds that are looked up as a pair.
+NEAR = 25
 LEAST_WORDS, LEAST_IDENTITY, MARGIN, DROP = 50, 0.8, 40, 4
 #: Words from a seed on that lie within any passage of the least length, wherever its first seed is.
 WIDE = LEAST_WORDS - SPAN + 1
@@ -274,12 +279,48 @@ def open_matches(shared: DataFrame, rows: DataFrame, reported: DataFrame) -> Dat
     return found.select("doc", "pos", "ref", "ref_pos", ends).select("doc", (F.col("pos") + F.col("by")).alias("pos"), "ref", (F.col("ref_pos") + F.col("by")).alias("ref_pos")).distinct()
 
 
+def edited_matches(shared: DataFrame, reported: DataFrame) -> DataFrame:
+    """(doc, pos, ref, ref_pos): both seeds of pairs of seeds ``NEAR`` to ``MOST_GAP`` words apart in a document, with the first document that has the pair.
+
+    Only pairs with a seed that no reported passage of its document covers are matched, with any document.
+    """
+    spans = reported.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+    covered = F.exists("spans", lambda s: (F.col("pos") >= s["start_word"]) & (F.col("pos") + K <= s["end_word"]))
+    places = shared.select("key", "doc", "pos").join(spans, "doc", "left").select("key", "doc", "pos", (~F.coalesce(covered, F.lit(False))).alias("open"))
+    places = materialize(places, "passage-places")
+    # a seed may be one of a pair where a document that has it is open there
+    asked = places.groupBy("key").agg(F.max("open").alias("any")).where("any").select("key")
+    grouped = places.join(asked, "key", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("pos", "key", "open")).alias("at")).select("doc", "at.pos", "at.key", "at.open")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, pos, key, still in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                pos, key, still = np.array(pos, np.int64), np.array(key, np.int64).view(np.uint64), np.array(still)
+                order = np.lexsort((key, pos))
+                pos, key, still = pos[order], key[order], still[order]
+                low, high = np.searchsorted(pos, pos + NEAR), np.searchsorted(pos, pos + MOST_GAP, "right")
+                one = np.repeat(np.arange(len(pos)), high - low)
+                two = np.arange(len(one)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[one]
+                if len(one):
+                    with np.errstate(over="ignore"):
+                        both = mix(key[one] * np.uint64(STEP) + key[two]).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(both), pa.array(np.full(len(one), doc)), pa.array(pos[one].astype(np.int32)), pa.array(pos[two].astype(np.int32)), pa.array(still[one] | still[two])], ["both", "doc", "pos", "pos2", "open"])
+
+    pairs = materialize(grouped.mapInArrow(run, "both long, doc long, pos int, pos2 int, open boolean"), "passage-pairs")
+    heads = pairs.groupBy("both").agg(F.min(F.struct("doc", "pos", "pos2")).alias("head"), F.max("doc").alias("last"), F.max("open").alias("any")).where("any and last > head.doc")
+    heads = heads.select("both", F.col("head.doc").alias("ref"), F.col("head.pos").alias("ref_pos"), F.col("head.pos2").alias("ref_pos2"))
+    found = pairs.where("open").join(heads, "both").where("doc != ref")
+    ends = F.explode(F.array(F.struct(F.col("pos").alias("p"), F.col("ref_pos").alias("r")), F.struct(F.col("pos2").alias("p"), F.col("ref_pos2").alias("r")))).alias("e")
+    return found.select("doc", "ref", ends).select("doc", F.col("e.p").alias("pos"), "ref", F.col("e.r").alias("ref_pos")).distinct()
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start_word, end_word, repeats_doc_id, repeats_start, repeats_end, identity) of the passages a document repeats."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     shared = shared_seeds(rows)
     reported = materialize(aligned(first_matches(shared), rows), "passages")
-    return reported.unionByName(aligned(open_matches(shared, rows, reported), rows)).distinct()
+    reported = materialize(reported.unionByName(aligned(open_matches(shared, rows, reported), rows)).distinct(), "passages")
+    return reported.unionByName(aligned(edited_matches(shared, reported), rows)).distinct()
 
 
 def of_documents(rows: DataFrame, needed: DataFrame) -> DataFrame:

@@ -696,6 +696,17 @@ def test_passages_that_earlier_documents_quote_in_fragments(spark):
     assert {(r.doc_id, r.start_word, r.end_word, r.repeats_doc_id, r.repeats_start, r.repeats_end, r.identity) for r in got} == {(30, 50, 110, 10, 40, 100, 1.0), (41, 0, 50, 40, 20, 70, 1.0)}
 
 
+def test_edited_passages_that_earlier_documents_quote_in_fragments(spark):
+    """Two edited copies without a run of 50 equal words, behind fragments that have all of their seeds first."""
+    rows = [(i, numbered_words((f"u{i}x", 0, 30), ("p", a, b), (f"v{i}x", 0, 30))) for i, (a, b) in enumerate([(0, 24), (16, 40), (30, 54), (46, 70)])]
+    whole = [f"p{i}" for i in range(70)]
+    edited = [w if i not in (17, 35, 53) else f"edit{i}" for i, w in enumerate(whole)]
+    rows += [(10, " ".join([*words(30, 81), *whole, *words(30, 82)])), (11, " ".join([*words(20, 83), *edited, *words(20, 84)]))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.repeats_doc_id) for r in got} == {(11, 10)}
+    assert min(r.start_word for r in got) == 20 and max(r.end_word for r in got) == 90
+
+
 def test_passages_leave_no_run_of_fifty_words(documents):
     """Every run of 50 words that an earlier document has lies in a reported passage, but for single words at its ends."""
     rows = documents.select("doc_id", "text").collect()
