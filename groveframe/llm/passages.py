@@ -57,11 +57,18 @@ MOST_IDS = 1_000_000
 SCHEMA = "doc_id long, start_word int, end_word int, repeats_doc_id long, repeats_start int, repeats_end int, identity double"
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    words = (text or "").encode("utf-8", "replace").lower().split()
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").lower().split()
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
 
 
+def word_hashes(text: str | None) -> np.ndarray:
+    return hashes_of(words_of(text))
+
+
 def powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
@@ -279,35 +286,55 @@ def open_matches(shared: DataFrame, rows: DataFrame, reported: DataFrame) -> Dat
     return found.select("doc", "pos", "ref", "ref_pos", ends).select("doc", (F.col("pos") + F.col("by")).alias("pos"), "ref", (F.col("ref_pos") + F.col("by")).alias("ref_pos")).distinct()
 
 
+def seed_pairs(pos: list[int], *columns: list) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Numbers of all pairs of places that are ``NEAR`` to ``MOST_GAP`` words apart, and the columns in the order of the places."""
+    order = np.lexsort((columns[0], pos))
+    pos, *columns = (np.array(x)[order] for x in (pos, *columns))
+    low, high = np.searchsorted(pos, pos + NEAR), np.searchsorted(pos, pos + MOST_GAP, "right")
+    one = np.repeat(np.arange(len(pos)), high - low)
+    two = np.arange(len(one)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[one]
+    return one, two, [pos, *columns]
+
+
 def edited_matches(shared: DataFrame, reported: DataFrame) -> DataFrame:
     """(doc, pos, ref, ref_pos): both seeds of pairs of seeds ``NEAR`` to ``MOST_GAP`` words apart in a document, with the first document that has the pair.
 
-    Only pairs with a seed that no reported passage of its document covers are matched, with any document.
+    A document asks for a pair where earlier ones have either seed (else none has both) and no reported passage of its own covers one of
+    them. Other documents pair the seeds of pairs that are asked for.
     """
     spans = reported.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
     covered = F.exists("spans", lambda s: (F.col("pos") >= s["start_word"]) & (F.col("pos") + K <= s["end_word"]))
-    places = shared.select("key", "doc", "pos").join(spans, "doc", "left").select("key", "doc", "pos", (~F.coalesce(covered, F.lit(False))).alias("open"))
+    # the first document of a share may have earlier ones in other shares
+    later = F.expr("share > 0 or doc != ref")
+    places = shared.join(spans, "doc", "left").select("key", "doc", "pos", later.alias("later"), (later & ~F.coalesce(covered, F.lit(False))).alias("open"))
     places = materialize(places, "passage-places")
-    # a seed may be one of a pair where a document that has it is open there
-    asked = places.groupBy("key").agg(F.max("open").alias("any")).where("any").select("key")
-    grouped = places.join(asked, "key", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("pos", "key", "open")).alias("at")).select("doc", "at.pos", "at.key", "at.open")
+
+    def asked_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [np.zeros(0, np.int64)]
+            for columns in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                one, two, (_, key, still) = seed_pairs(*columns)
+                asks = still[one] | still[two]
+                out += [key[one[asks]], key[two[asks]]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)))], ["key"])
+
+    asking = places.where("later").groupBy("doc").agg(F.collect_list(F.struct("pos", "key", "open")).alias("at")).where(F.exists("at", lambda x: x["open"]))
+    asked = materialize(asking.select("at.pos", "at.key", "at.open").mapInArrow(asked_seeds, "key long").distinct(), "passage-open")
+    grouped = places.join(asked, "key", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("pos", "key", "later", "open")).alias("at")).select("doc", "at.pos", "at.key", "at.later", "at.open")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, pos, key, still in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                pos, key, still = np.array(pos, np.int64), np.array(key, np.int64).view(np.uint64), np.array(still)
-                order = np.lexsort((key, pos))
-                pos, key, still = pos[order], key[order], still[order]
-                low, high = np.searchsorted(pos, pos + NEAR), np.searchsorted(pos, pos + MOST_GAP, "right")
-                one = np.repeat(np.arange(len(pos)), high - low)
-                two = np.arange(len(one)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[one]
+            for doc, *columns in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                one, two, (pos, key, after, still) = seed_pairs(*columns)
                 if len(one):
+                    key = key.view(np.uint64)
                     with np.errstate(over="ignore"):
                         both = mix(key[one] * np.uint64(STEP) + key[two]).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(both), pa.array(np.full(len(one), doc)), pa.array(pos[one].astype(np.int32)), pa.array(pos[two].astype(np.int32)), pa.array(still[one] | still[two])], ["both", "doc", "pos", "pos2", "open"])
+                    asks = after[one] & after[two] & (still[one] | still[two])
+                    yield pa.RecordBatch.from_arrays([pa.array(both), pa.array(np.full(len(one), doc)), pa.array(pos[one].astype(np.int32)), pa.array(pos[two].astype(np.int32)), pa.array(asks)], ["both", "doc", "pos", "pos2", "open"])
 
     pairs = materialize(grouped.mapInArrow(run, "both long, doc long, pos int, pos2 int, open boolean"), "passage-pairs")
-    heads = pairs.groupBy("both").agg(F.min(F.struct("doc", "pos", "pos2")).alias("head"), F.max("doc").alias("last"), F.max("open").alias("any")).where("any and last > head.doc")
+    heads = pairs.groupBy("both").agg(F.min(F.struct("doc", "pos", "pos2")).alias("head"), F.max(F.when(F.col("open"), F.col("doc"))).alias("last")).where("last > head.doc")
     heads = heads.select("both", F.col("head.doc").alias("ref"), F.col("head.pos").alias("ref_pos"), F.col("head.pos2").alias("ref_pos2"))
     found = pairs.where("open").join(heads, "both").where("doc != ref")
     ends = F.explode(F.array(F.struct(F.col("pos").alias("p"), F.col("ref_pos").alias("r")), F.struct(F.col("pos2").alias("p"), F.col("ref_pos2").alias("r")))).alias("e")
@@ -348,14 +375,14 @@ def aligned(pairs: DataFrame, rows: DataFrame) -> DataFrame:
         return chained.select("chain", F.lit(side).alias("side"), F.col(doc).alias("doc_id"), F.greatest(F.lit(0), F.element_at(pos, 1) - MARGIN).alias("low"), (F.element_at(pos, -1) + K + MARGIN).alias("high"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, words = None, None
+        held, words = None, []
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part, out = batch.slice(at, 2048), []
                 for low, high, text in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                     if text is not held and text != held:
-                        held, words = text, word_hashes(text).astype(np.uint32).view(np.int32)
-                    out.append(words[low:high])
+                        held, words = text, words_of(text)
+                    out.append(hashes_of(words[low:high]).astype(np.uint32).view(np.int32))
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], lists(out, pa.int32())], ["chain", "side", "low", "words"])
 
     wanted = need(0, "doc", "pos").unionByName(need(1, "ref", "ref_pos"))

@@ -707,6 +707,22 @@ def test_edited_passages_that_earlier_documents_quote_in_fragments(spark):
     assert min(r.start_word for r in got) == 20 and max(r.end_word for r in got) == 90
 
 
+def test_originals_ask_for_no_pairs_of_seeds(spark, monkeypatch):
+    """The first document of a text has no earlier one to look for, so texts and their exact copies pair no seeds (an edited copy does)."""
+    made, write = {}, passages.materialize
+
+    def counted(df, label):
+        out = write(df, label)
+        made[label] = out.count()
+        return out
+
+    monkeypatch.setattr(passages, "materialize", counted)
+    rows = [(i, " ".join(words(300, 700 + i % 10))) for i in range(20)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.repeats_doc_id, r.start_word, r.end_word) for r in got} == {(i + 10, i, 0, 300) for i in range(10)}
+    assert made["passage-matches"] > 0 and made["passage-pairs"] == 0
+
+
 def test_passages_leave_no_run_of_fifty_words(documents):
     """Every run of 50 words that an earlier document has lies in a reported passage, but for single words at its ends."""
     rows = documents.select("doc_id", "text").collect()
