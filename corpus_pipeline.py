@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groveframe.llm.common import materialize, table
-from groveframe.llm.decontaminate import contaminated
+from groveframe.llm.decontaminate import clean
 from groveframe.llm.languages import identify, learn_samples
 from groveframe.llm.mixing import mix
 from groveframe.llm.shingle_join import near_duplicates
@@ -51,9 +51,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the rows that hold a passage of the benchmark."""
-    rows = keyed(docs)
-    found = contaminated(rows, table(spark, sf_dir, "benchmark"), id_col="row").select(F.col("doc_id").alias("row")).distinct()
-    return rows.join(found, "row", "left_anti").select(COLUMNS)
+    return clean(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

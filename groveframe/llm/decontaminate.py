@@ -188,5 +188,20 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     return spark.createDataFrame([], SCHEMA) if out is None else out
 
 
+def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no passage of an item. A row is decided by its own text where it is read, so rows need no key,
+    are not written and not joined; only what a block of items leaves is written for the next one."""
+    spark, out, column = docs.sparkSession, docs, docs.columns.index(text_col)
+    for i, block in enumerate(blocks_of(items, item_id, item_text)):
+        sent = spark.sparkContext.broadcast(block)  # at most BLOCK_WORDS words and one item
+
+        def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([not sent.value.matches(text, threshold) for text in batch.column(column).to_pylist()], pa.bool_()))
+
+        out = (materialize(out, "clean-rows") if i else out).mapInArrow(keep, docs.schema)
+    return out
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

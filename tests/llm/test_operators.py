@@ -824,6 +824,21 @@ def test_pipeline_decides_by_row(spark):
     assert run(corpus_pipeline.decontamination_stage, rows) == Counter([(None, a), (5, b), (6, c), (6, c)])
 
 
+def test_decontamination_stage_writes_no_rows(spark, monkeypatch):
+    """The stage filters rows where they are read: no copy of the texts stays on disk; several blocks of items drop the same rows as one."""
+    import corpus_pipeline
+
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    rows = spark.createDataFrame([(i, " ".join(words(30, 400 + i)) + (" " + leak if i % 3 == 0 else ""), "en", "s", 1) for i in range(9)] + [(None, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    written, kept = [], [None, 1, 2, 4, 5, 7, 8]
+    for module in (corpus_pipeline, decontaminate):
+        monkeypatch.setattr(module, "materialize", lambda df, label: written.append(label) or materialize(df, label))
+    left = lambda: sorted((r.doc_id for r in corpus_pipeline.decontamination_stage(spark, rows, SF).collect()), key=lambda i: i or 0)
+    assert left() == kept and not written
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 2000)
+    assert left() == kept
+
+
 def test_pipeline_on_odd_rows(spark, odd, none, tmp_path):
     """Nulls in every column, empty and long texts, repeated rows, clashing names; no rows at all; items that are null or empty."""
     import corpus_pipeline
