@@ -504,6 +504,13 @@ def test_attention_gradients():
         assert abs((sides[0] - sides[1]) / 2e-5 - g[k][at]) < 1e-4
 
 
+def test_sums_by_id_are_plain_sums():
+    rng = np.random.default_rng(3)
+    ids, rows = rng.integers(0, 9, 50), rng.random((50, 4))
+    expected = [sum((row for i, row in zip(ids, rows, strict=True) if i == k), np.zeros(4)) for k in range(12)]
+    assert np.allclose(attention_model.sums_by_id(ids, rows, 12), expected)
+
+
 def naive_log_prob(p, ids, prior, group):
     """The last of some ids, one number at a time: attention over all of them, no windows or buffers."""
     x = [p["E"][i] + p["P"][k] for k, i in enumerate(ids)]
