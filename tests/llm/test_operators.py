@@ -504,6 +504,30 @@ def test_attention_gradients():
         assert abs((sides[0] - sides[1]) / 2e-5 - g[k][at]) < 1e-4
 
 
+def test_places_of_context_get_keys_and_values_alone():
+    """Windows after the first of a text have their hidden states from their first new place on, the same as from all places."""
+    rng, m = np.random.default_rng(4), attention_model
+    p, skip, ids = m.init(), m.WINDOW - m.STRIDE, rng.integers(0, m.INPUTS, (5, m.WINDOW))
+    later, whole = (m.body(p, m.joined(p), ids, k, m.Buffers())[0] for k in (skip, 0))
+    assert later.shape[1] == m.STRIDE and np.allclose(later, whole[:, skip:], atol=1e-5)
+    take = m.windows(np.array([70, 1, 99])).take
+    kinds = list(m.blocks(take, 2))
+    assert sorted(i for some, _ in kinds for i in some) == list(range(len(take)))
+    assert {i for some, skip in kinds for i in some if not skip} == {0, 4, 5}
+
+
+def test_gradients_do_not_depend_on_blocks(monkeypatch):
+    rng, m = np.random.default_rng(5), attention_model
+    seq, w = made_sequence(rng, [70, 1, 99, 30]), m.windows(np.array([70, 1, 99, 30]))
+    here = w.at[w.take]
+    p, prior = {k: v + 0.01 * (k == "U") for k, v in m.init().items()}, (rng.random((200, m.GROUPS)) + 0.1).astype(np.float32)
+    (loss, g), new = m.gradients(p, seq.ids[w.at], w.take, prior[here], seq.groups[here]), m.Buffers()
+    for at_once in (256, 3, 256):
+        monkeypatch.setattr(m, "AT_ONCE", at_once)
+        again, h = m.gradients(p, seq.ids[w.at], w.take, lambda i: prior[here[i]], seq.groups[here], new)
+        assert abs(again - loss) < 1e-5 and all(np.allclose(h[k], g[k], atol=1e-5) for k in g)
+
+
 def test_sums_by_id_are_plain_sums():
     rng = np.random.default_rng(3)
     ids, rows = rng.integers(0, 9, 50), rng.random((50, 4))

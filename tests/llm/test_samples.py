@@ -70,3 +70,14 @@ def test_attention_goes_through_every_training_document(spark, monkeypatch):
         # Adam makes steps of gradients that are next to nothing, where the order of sums shows
         assert np.abs(got - expected).mean() <= 0.05 * np.abs(expected - start[k]).mean()
     assert not np.allclose(model.parameters["U"], start["U"], atol=1e-4)
+
+
+def test_training_pass_takes_no_probabilities_within_groups(spark, monkeypatch):
+    """Only scores need them: look-ups of every subword among frequent edges and pairs."""
+    docs = spark.createDataFrame([(i, " ".join(words(60, 90 + i))) for i in range(6)], "doc_id long, text string")
+    model = language_model.learn(docs, language_model.corpus_counts(docs.select("text"), RANKS), RANKS, 2)
+    monkeypatch.setattr(type(model.prior), "place", None)
+    known = language_model.speller(RANKS).read(pa.array(["the tree", None, "of trees"]))
+    sequence = model.texts(known, 3)
+    assert sequence.lengths[1] == 1 and sequence.lengths.sum() == len(sequence.ids)
+    assert attention_model.Learner(model.parameters).go_through(sequence, model.prior_without(sequence)) == 3
