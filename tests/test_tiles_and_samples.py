@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from groveframe.operators import predictions, sampling, voxels
+from groveframe.operators import predictions, sampling, tiles, voxels
 from groveframe.plans import crops, segmentation
 from groveframe.plans.forest import points
 from groveframe.plans.queries import PLAN
@@ -178,3 +178,20 @@ def test_crops_meet_their_quotas(spark):
     assert 0 < len(taken) <= 40 and not taken[["plot", "crop"]].duplicated().any() and taken["plot"].nunique() == 3
     inside = crops.training_crops(p, plan).selectExpr("max(greatest(abs(u), abs(v)))", "count(distinct plot, crop)").first()
     assert inside[0] <= 5.0 and inside[1] <= len(taken) and math.isfinite(inside[0])
+
+
+def test_live_tiles_are_met_before_points_fan_out(spark):
+    p = points(spark, SF)
+    placed = segmentation.generate_tiles(p, PLAN, "gt")
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(") < plan.index("Join ")
+
+
+def test_some_tiles_are_those_of_all(spark):
+    p = points(spark, SF).select("point_id", "x", "y")
+    for outer, grid in ((13.5, tiles.tile_grid(tiles.bounds_of(p))), (0.5, tiles.tile_grid(tiles.bounds_of(p), 3.0, 2.0, 0.3))):
+        some = tiles.tile_bounds(spark, grid).where("(col * 7 + row) % 3 = 0").select("col", "row")
+        want = tiles.assign_tiles(p, grid, outer).join(some, ["col", "row"], "left_semi")
+        got = tiles.assign_some_tiles(p, some, grid, outer)
+        columns = ["point_id", "col", "row", "xlo", "yhi", "mx", "my"]
+        assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect())) != []
